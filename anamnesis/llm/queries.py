@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from anamnesis.llm.license_scan import op8_license_scan
 from anamnesis.llm.pieces import op6_sentencepiece
 from anamnesis.llm.pii import op1_pii
 from anamnesis.llm.png_media import op5_media
 from anamnesis.llm.secret_scan import op9_secret_scan
+from anamnesis.llm.simhash import op2_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pii, op5_media, op6_sentencepiece, op9_secret_scan)
+    for f in (op1_pii, op2_simhash, op5_media, op6_sentencepiece, op8_license_scan, op9_secret_scan)
 }
 ORACLE_SQL: dict[str, str] = {}
