@@ -3,9 +3,9 @@
 A fingerprint is cut into a ring of five segments. If two fingerprints differ in
 at most four bits, some start on the ring has, for every length l, differences
 within l * 4 / 5 over the l segments from there: none in the first, one at most
-in the first two, and so on. The join key is the first two segments from each
-start; the side with the smaller id also looks up every variant with one bit of
-the second segment turned, so a key holds about 26 bits. The longer chains are
+in the first two, and so on. Two segments that differ in one bit at most agree in
+one half of the second, so the join key is a start's segment with a half of the
+next: ten keys a fingerprint, of about 19 bits. The chains of two to four are
 tested on the joined pair, then the whole Hamming distance.
 
 Copies are grouped before anything is joined, fingerprints that differ within
@@ -66,6 +66,13 @@ def _masks(distance: int) -> list[int]:
     return [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def _halves(mask: int) -> tuple[int, int]:
+    """The lower and upper bits of a segment's mask."""
+    places = [b for b in range(BITS) if mask >> b & 1]
+    low = sum(1 << b for b in places[: len(places) // 2])
+    return low, mask ^ low
+
+
 def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): one narrow pass."""
 
@@ -89,20 +96,18 @@ def _ring_pairs(nodes: DataFrame, distance: int) -> DataFrame:
     ring = _masks(distance)
     count = len(ring)
     chain = [[_signed(sum(ring[(i + j) % count] for j in range(n))) for n in range(1, count + 1)] for i in range(count)]
-    turned = [[1 << b for b in range(BITS) if ring[(i + 1) % count] >> b & 1] for i in range(count)]
-    key = lambda i, turn: F.struct(F.lit(i).cast("byte").alias("start"), F.col("fp").bitwiseAND(F.lit(chain[i][1])).bitwiseXOR(F.lit(_signed(turn))).alias("part"))
-    exact = F.array(*[key(i, 0) for i in range(count)])
-    variants = F.array(*[key(i, turn) for i in range(count) for turn in (0, *turned[i])])
-    index = nodes.select(F.explode(exact).alias("k"), *[F.col(c).alias(f"b_{c}") for c in ("id", "fp", "label")]).select("k.*", "b_id", "b_fp", "b_label")
-    probe = nodes.select(F.explode(variants).alias("k"), "id", "fp", "label").select("k.*", "id", "fp", "label")
+    keys = [(i, _signed(ring[i] | half)) for i in range(count) for half in _halves(ring[(i + 1) % count])]
+    both = F.array(*[F.struct(F.lit(n).cast("byte").alias("key"), F.col("fp").bitwiseAND(F.lit(mask)).alias("part")) for n, (_, mask) in enumerate(keys)])
+    left = nodes.select(F.explode(both).alias("k"), "fp", "label").select("k.*", "fp", "label")
+    right = left.select(*[F.col(c).alias(f"b_{c}") for c in left.columns])
     apart = F.col("fp").bitwiseXOR(F.col("b_fp"))
-    near = (F.col("id") < F.col("b_id")) & (F.col("label") != F.col("b_label"))
-    for n in range(3, count):
-        mask = F.element_at(F.array(*[F.lit(chain[i][n - 1]) for i in range(count)]), F.col("index.start").cast("int") + 1)
+    near = (F.col("fp") < F.col("b_fp")) & (F.col("label") != F.col("b_label"))
+    for n in range(2, count):
+        mask = F.element_at(F.array(*[F.lit(chain[i][n - 1]) for i, _ in keys]), F.col("key").cast("int") + 1)
         near &= F.bit_count(apart.bitwiseAND(mask)) <= n * distance // count
     near &= F.bit_count(apart) <= distance
-    on = (F.col("probe.start") == F.col("index.start")) & (F.col("probe.part") == F.col("index.part"))
-    return probe.alias("probe").join(index.alias("index"), on & near).select(F.greatest("label", "b_label").alias("hi"), F.least("label", "b_label").alias("lo"))
+    on = (F.col("key") == F.col("b_key")) & (F.col("part") == F.col("b_part"))
+    return left.join(right, on & near).select(F.greatest("label", "b_label").alias("hi"), F.least("label", "b_label").alias("lo"))
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
