@@ -7,7 +7,8 @@ language, and over all; a group of under ``LEAST_GROUP`` documents takes the
 next wider group's thresholds. A measure fails if it lies over the median by
 more than ``SPREADS`` times the distance from median to upper quartile, plus the
 measure's slack. The verdicts come from a join of the documents' measures with
-the thresholds, salted so that a source with a third of all rows is dealt out.
+the groups' thresholds, in which no source with a third of all rows meets in one
+task.
 
 Only DataFrame functions run; the text itself is never shuffled.
 
@@ -30,8 +31,9 @@ GROWTH = 1.02
 SPREADS = 6.0
 LEAST_GROUP = 50
 SALTS = 16
+MOST_BROADCAST = 20_000
 #: Measures and their slack over the median beyond the spread.
-MEASURES = {"symbols": 0.02, "marks": 0.02, "dup_lines": 0.25, "repeats": 0.15, "word_size": 2.0}
+MEASURES = {"symbols": 0.02, "marks": 0.02, "dup_lines": 0.4, "repeats": 0.3, "word_size": 2.0}
 _SPACE = r"[\x20\x09-\x0D]+"
 _SYMBOLS = "#*$%&|<>"
 
@@ -61,19 +63,19 @@ def _covered(windows: Column) -> Column:
     return F.aggregate(gaps, F.lit(WINDOW).cast("long"), lambda acc, g: acc + g)
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """doc_id, group columns, the base counts and the measures; narrow."""
+def measure(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, group columns, the base counts and the measures, and columns to carry."""
     text = F.coalesce("text", F.lit(""))
-    one = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), text.alias("text"))
+    one = docs.select(*carry, "doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), text.alias("text"))
     cut = one.select(
-        "doc_id", "lang", "source",
+        *carry, "doc_id", "lang", "source",
         F.array_remove(F.split("text", _SPACE), "").alias("words"),
         F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
         _count_chars(F.col("text"), _SYMBOLS).cast("long").alias("n_symbols"),
         _count_chars(F.col("text"), "!").cast("long").alias("n_marks"),
     )
     hashed = cut.select(
-        "doc_id", "lang", "source", "n_symbols", "n_marks",
+        *carry, "doc_id", "lang", "source", "n_symbols", "n_marks",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.size("lines").cast("long").alias("n_lines"),
@@ -88,7 +90,7 @@ def measure(docs: DataFrame) -> DataFrame:
     counted = eight.select(*same, repeated.alias("n_repeat_words"))
     chars, words = F.greatest("word_chars", F.lit(1)), F.greatest("n_words", F.lit(1))
     return counted.select(
-        "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        *carry, "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))).alias("base_failed"),
         F.struct(
             (F.col("n_symbols") / chars).alias("symbols"),
@@ -129,32 +131,50 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     return limits.groupBy("lang", "source").agg(F.max("size").alias("size"), F.struct(*[F.max(F.when(F.col("measure") == m, F.col("limit"))).alias(m) for m in MEASURES]).alias("limits"))
 
 
+def group_limits(measured: DataFrame) -> DataFrame:
+    """(lang, source, limits) of every group, settled; small groups take a wider one's."""
+    found = settle(thresholds(sketches(measured)))
+    enough = F.when(F.col("size") >= LEAST_GROUP, F.col("limits"))
+    fine = found.filter("source IS NOT NULL").select("lang", "source", enough.alias("fine"))
+    wide = found.filter("source IS NULL AND lang IS NOT NULL").select("lang", enough.alias("wide"))
+    widest = found.filter("lang IS NULL").select(F.col("limits").alias("widest"))
+    # widest is one row: all documents are one group.
+    return settle(fine.join(wide, "lang", "left").join(F.broadcast(widest), F.lit(True), "left").select("lang", "source", F.coalesce("fine", "wide", "widest").alias("limits")))
+
+
+def judged(measured: DataFrame, limits: DataFrame) -> DataFrame:
+    """The measured rows with ``kept``.
+
+    Up to MOST_BROADCAST groups are broadcast, so that no document moves; beyond,
+    the documents are salted and every group's limits repeated for each salt.
+    """
+    if limits.count() <= MOST_BROADCAST:
+        joined = measured.join(F.broadcast(limits), ["lang", "source"], "left")
+    else:
+        salted = limits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = measured.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int")).join(salted, ["lang", "source", "salt"], "left")
+    within = reduce(lambda a, b: a & b, [F.col("measures")[m] <= F.col("limits")[m] for m in MEASURES])
+    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(True)))
+
+
 def verdicts(docs: DataFrame) -> DataFrame:
     """The contract's columns for every document."""
     measured = settle(measure(docs))
-    found = thresholds(sketches(measured))
-    fine = found.filter("source IS NOT NULL").select("lang", "source", F.when(F.col("size") >= LEAST_GROUP, F.col("limits")).alias("fine"))
-    wide = found.filter("source IS NULL AND lang IS NOT NULL").select("lang", F.when(F.col("size") >= LEAST_GROUP, F.col("limits")).alias("wide"))
-    all_ = found.filter("lang IS NULL").select(F.col("limits").alias("widest"))
-    chosen = fine.join(wide, "lang", "left").join(all_, F.lit(True), "left").select("lang", "source", F.coalesce("fine", "wide", "widest").alias("limits"))
-    salted = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = measured.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int")).join(salted, ["lang", "source", "salt"], "left")
-    within = reduce(lambda a, b: a & b, [F.col("measures")[m] <= F.col("limits")[m] for m in MEASURES])
-    kept = ~F.col("base_failed") & F.coalesce(within, F.lit(True))
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
+    return judged(measured, group_limits(measured)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The documents whose verdict is kept, with all their columns.
 
-    Rows that share an id stay or go by the verdict of each own text; a null id
-    is judged like any other, by a row number that the join carries.
+    The measures are taken twice, once for the sketches and once for the verdict,
+    so that no text is shuffled or stored.
     """
-    judged = verdicts(docs.withColumn("doc_id", F.struct("doc_id", F.xxhash64("text").alias("h"))))
-    out = judged.filter(~F.col("kept")).select(F.col("doc_id").alias("__key")).distinct()
-    key = F.struct("doc_id", F.xxhash64("text").alias("h"))
-    keyed = docs.withColumn("__key", key)
-    return keyed.join(out, keyed["__key"].eqNullSafe(out["__key"]), "left_anti").select(*docs.columns)
+    limits = group_limits(settle(measure(docs)))
+    whole = docs.select("doc_id", "text", "lang", "source", F.struct("*").alias("row"))
+    # A filter is not pushed below a random column, where it would take the
+    # measures once more for every condition.
+    measured = measure(whole, ("row",)).withColumn("stop", F.rand(0))
+    return judged(measured, limits).filter("kept AND stop >= 0").select("row.*")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
