@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from anamnesis.plans import retrieval
+from anamnesis.plans import ingestion, retrieval, upkeep  # noqa: F401
 from anamnesis.registry import QUERIES, SQL, Query
 
 
