@@ -10,11 +10,22 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, read by Spark alone so that any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> None:
+    """Bound the Arrow batches of texts, where the session keeps Spark's default of
+    10,000 rows: a worker and its executor hold a batch of whole texts each."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH) == "10000":
+        conf.set(_BATCH, "1000")
+
+
 def map_texts(
     docs: DataFrame,
     start: Callable[[], Callable[[str], tuple]],
@@ -42,6 +53,7 @@ def map_texts(
             own = [batch.column(i).cast(arrow.field(i).type) for i in range(len(keys))]
             yield pa.RecordBatch.from_arrays([*own, *made], schema=arrow)
 
+    small_batches(docs)
     return docs.select(*keys, text).mapInArrow(run, full)
 
 

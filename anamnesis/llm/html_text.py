@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anamnesis.llm.common import table
+from anamnesis.llm.common import small_batches, table
 
 LEAST_PAGES, LEAST_SHARE = 5, 0.2
 # Element names by their role in a page.
@@ -180,15 +180,16 @@ def blocks(root: Element, template: frozenset[int] = frozenset()) -> list[str]:
 
 
 def subtrees(root: Element) -> list[int]:
-    """Digests of the elements that a template may be: those with text that are
-    no noise by themselves."""
+    """Digests of the elements that a template may be: blocks of the main element
+    that are no noise by themselves; in an article or main element, no prose."""
     _digest(root)
-    found, todo = set(), [root]
+    top = main_element(root)
+    inside = top.tag in ("article", "main")
+    found, todo = set(), [top]
     while todo:
-        e = todo.pop()
-        for c in e.children:
-            if not isinstance(c, str) and not c.noise:
-                if c.tag in BLOCK and c.tag not in ("html", "body", "article", "main"):
+        for c in todo.pop().children:
+            if not isinstance(c, str) and not c.noise and not (inside and c.tag in PROSE):
+                if c.tag in BLOCK:
                     found.add(c.digest)
                 todo.append(c)
     return sorted(found)
@@ -213,6 +214,7 @@ def _page_marks(pages: DataFrame) -> DataFrame:
                 mains.append(xxhash.xxh64_intdigest("\n".join(blocks(root))) - (1 << 63))
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(mains, pa.int64()), pa.array(digests, schema.field(2).type)], schema=schema)
 
+    small_batches(pages)
     return pages.select("url", "html").mapInArrow(run, "host string, main long, digests array<long>")
 
 
@@ -257,6 +259,7 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float
             rows = [f(page or "", t) for page, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
+    small_batches(pages)
     return joined.mapInArrow(run, f"page_id {key}, url string, text string, n_chars long")
 
 

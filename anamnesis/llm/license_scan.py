@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anamnesis.llm.common import map_texts, table
+from anamnesis.llm.common import map_texts, small_batches, table
 
 CONTAINED = 0.8
 #: Bounds what is sent to every task.
@@ -73,6 +73,7 @@ def word_frequencies(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[byte
                     counts.update(vocabulary.intersection(words_of(text).split()))
         yield pa.RecordBatch.from_pydict({"word": [w.decode() for w in counts], "n": list(counts.values())}, schema=pa.schema([("word", pa.string()), ("n", pa.int64())]))
 
+    small_batches(docs)
     rows = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     return {r.word.encode(): r.n for r in rows}
 
