@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
+import types
 from collections.abc import Callable
 from itertools import chain
 
@@ -26,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from anamnesis.llm.common import map_texts, table
 
 SPACE = "▁"
-#: Chunks whose ids are remembered by a task; beyond it the memory starts anew.
-REMEMBERED = 300_000
+#: Chunks whose ids a worker remembers; beyond it the memory starts anew.
+REMEMBERED = 500_000
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -190,6 +192,15 @@ def _row(model: PieceModel) -> Callable[[str], tuple]:
     return row
 
 
+def worker_model(proto: bytes) -> PieceModel:
+    """The model, kept with what it remembers while the worker process lives."""
+    held = sys.modules.setdefault("_pieces_of_this_worker", types.ModuleType("_pieces_of_this_worker"))
+    name = "m" + hashlib.sha256(proto).hexdigest()
+    if not hasattr(held, name):
+        setattr(held, name, PieceModel(proto))
+    return getattr(held, name)
+
+
 def encode_documents(docs: DataFrame, model_file: str, with_ids: bool = True) -> DataFrame:
     """A row for each document: its ids, their count, and digests of ids and decoded text.
 
@@ -203,7 +214,7 @@ def encode_documents(docs: DataFrame, model_file: str, with_ids: bool = True) ->
     held = docs.sparkSession.sparkContext.broadcast(proto)
 
     def start() -> Callable[[str], tuple]:
-        row = _row(PieceModel(held.value))
+        row = _row(worker_model(held.value))
         return row if with_ids else lambda text: row(text)[1:]
 
     tail = "n_tokens long, ids_sha256 string, decoded_sha256 string"
