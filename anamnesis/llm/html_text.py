@@ -29,9 +29,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anamnesis.llm.common import small_batches, table
+from anamnesis.llm.common import settle, small_batches, table
 
 LEAST_PAGES, LEAST_SHARE = 5, 0.2
+MOST_BROADCAST, SALTS = 1_000_000, 32
 # Element names by their role in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -235,12 +236,20 @@ def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share
 def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
     """(page_id, url, text, n_chars) of every page.
 
-    The pages meet their host's list in a left join on the host; where one host
-    has most pages Spark splits its part, the lists being one row a host.
+    Up to MOST_BROADCAST template digests are broadcast, so that no page moves;
+    beyond, pages are salted and every host's list repeated for each salt, so
+    that no host's pages meet in one task.
     """
-    templates = site_templates(pages, least_pages, least_share).withColumnRenamed("host", "__host")
+    templates = settle(site_templates(pages, least_pages, least_share).withColumnRenamed("host", "__host"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST.pattern, 1))
-    joined = pages.select("page_id", "url", "html", host.alias("__host")).join(templates, "__host", "left").select("page_id", "url", "html", "template")
+    own = pages.select("page_id", "url", "html", host.alias("__host"))
+    size = templates.agg(F.coalesce(F.sum(F.size("template") + 1), F.lit(0)).alias("n")).first().n
+    if size <= MOST_BROADCAST:
+        joined = own.join(F.broadcast(templates), "__host", "left")
+    else:
+        salted = templates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = own.withColumn("__salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["__host", "__salt"], "left")
+    joined = joined.select("page_id", "url", "html", "template")
     key = pages.schema["page_id"].dataType.simpleString()
 
     def start() -> Callable[[str, list[int] | None], tuple[str, int]]:
