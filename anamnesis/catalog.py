@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from anamnesis.plans import files_and_streams, ingestion, relational, retrieval, upkeep  # noqa: F401
+from anamnesis.plans import files_and_streams, ingestion, models_and_facade, relational, retrieval, upkeep  # noqa: F401
 from anamnesis.registry import QUERIES, SQL, Query
 
 
