@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from anamnesis.llm import oracles
 from anamnesis.llm.chat import op3_chat
 from anamnesis.llm.html_text import op7_html
 from anamnesis.llm.license_scan import op8_license_scan
@@ -21,4 +22,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_pii, op2_simhash, op3_chat, op4_quality, op5_media, op6_sentencepiece, op7_html, op8_license_scan, op9_secret_scan, op10_mixing)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_quality": oracles.QUALITY, "op8_license_scan": oracles.LICENSES}
