@@ -83,8 +83,8 @@ query("join_token_match", f"WITH {BM25_CTE.split(',' + chr(10) + 'terms')[0]} SE
 _FIRST = "SELECT n_nationkey, s_suppkey FROM nation LEFT JOIN (SELECT s_nationkey, min(s_suppkey) AS s_suppkey FROM supplier WHERE s_acctbal > 0 GROUP BY s_nationkey) ON s_nationkey = n_nationkey"
 for _n in ("join_first_match", "ev_coverage"):
     query(_n, _FIRST)(lambda s, d: table(s, d, "nation").join(table(s, d, "supplier").filter("s_acctbal > 0").groupBy("s_nationkey").agg(F.min("s_suppkey").alias("s_suppkey")), F.col("n_nationkey") == F.col("s_nationkey"), "left").select("n_nationkey", "s_suppkey"))
-query("join_tool_call_result", "SELECT c.event_id AS call, r.event_id AS result, r.event_type AS tool FROM events c LEFT JOIN events r ON r.event_id = c.event_id + 1 AND r.user_id = c.user_id")(
-    lambda s, d: table(s, d, "events").select(F.col("event_id").alias("call"), (F.col("event_id") + 1).alias("next"), F.col("user_id").alias("u")).join(table(s, d, "events").select(F.col("event_id").alias("result"), F.col("event_type").alias("tool"), "user_id"), (F.col("next") == F.col("result")) & (F.col("u") == F.col("user_id")), "left").select("call", "result", "tool")
+query("join_tool_call_result", "SELECT c.event_id AS call, coalesce(r.event_id, -1) AS result, coalesce(r.event_type, 'unknown') AS tool FROM events c LEFT JOIN events r ON r.event_id = c.event_id + 1 AND r.user_id = c.user_id")(
+    lambda s, d: table(s, d, "events").select(F.col("event_id").alias("call"), (F.col("event_id") + 1).alias("next"), F.col("user_id").alias("u")).join(table(s, d, "events").select(F.col("event_id").alias("result"), F.col("event_type").alias("tool"), "user_id"), (F.col("next") == F.col("result")) & (F.col("u") == F.col("user_id")), "left").select("call", F.coalesce("result", F.lit(-1)).alias("result"), F.coalesce("tool", F.lit("unknown")).alias("tool"))
 )
 # Aggregations.
 query("agg_group_rep", "SELECT DISTINCT l_suppkey AS entity FROM lineitem WHERE l_orderkey % 16 = 1")(lambda s, d: si.mentions(s, d).dropDuplicates(["entity"]).select("entity"))
