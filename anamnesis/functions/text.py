@@ -26,8 +26,7 @@ UNIT = "\x1f"
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
-    flat = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " "))
+    return F.array_remove(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "), " "), "")
 
 
 def normalized(text: Column) -> Column:

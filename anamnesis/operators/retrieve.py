@@ -46,7 +46,8 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "key", text: str = "tex
     totals = cut.agg(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("avg_len"))
     terms = wanted.select("term").distinct()
     tf = cut.select("key", "weight", F.size("t").alias("len"), F.explode("t").alias("term")).join(terms, "term", "left_semi").groupBy("key", "weight", "len", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    # The sum reads tf, so that both uses of the postings have one plan and one shuffle.
+    df = tf.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1)).alias("df"))
     # totals is one row.
     scored = tf.join(df, "term").join(F.broadcast(totals), F.lit(True), "left").join(wanted, "term")
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
