@@ -1 +1,11 @@
-"""anamnesis: agent-memory analytics and corpus preparation as Spark DataFrame plans."""
+"""anamnesis: agent-memory analytics and corpus preparation as Spark DataFrame plans.
+
+Its Python functions travel to the executors by value, so a cluster needs no
+installed copy.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
