@@ -41,9 +41,14 @@ STEPS, ENOUGH = 24, 1e-4
 _CUT = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def features(text: Column) -> Column:
-    """Distinct stems of a text's lower-case words, and marks of its shape."""
-    words = F.array_distinct(F.transform(F.array_distinct(F.split(F.lower(text), _CUT)), lambda w: F.substr(w, F.lit(1), F.lit(STEM))))
+def words_of(text: Column) -> Column:
+    """Lower-case words, cut at ASCII characters that are no letters or digits."""
+    return F.array_remove(F.split(F.lower(text), _CUT), "")
+
+
+def features(text: Column, words: Column) -> Column:
+    """Distinct stems of a text's words, and marks of its shape."""
+    words = F.array_distinct(F.transform(F.array_distinct(words), lambda w: F.substr(w, F.lit(1), F.lit(STEM))))
     size = F.greatest(F.length(text), F.lit(1))
     count = lambda chars: size - F.length(reduce(lambda c, x: F.replace(c, F.lit(x), F.lit("")), chars, text))
     step = lambda name, value, most: F.concat(F.lit(f"#{name}"), F.least(F.floor(value), F.lit(most)).cast("string"))
@@ -53,11 +58,7 @@ def features(text: Column) -> Column:
         step("length", F.log2(size), 8),
         step("spread", F.size(words) * 60 / size, 12),
     )
-    return F.concat(F.array_remove(words, ""), marks)
-
-
-def token_count(text: Column) -> Column:
-    return F.size(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")).cast("long")
+    return F.concat(words, marks)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
@@ -69,7 +70,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> D
     domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 0)
     rated = labels.select("doc_id", domain.alias("domain")).filter("doc_id IS NOT NULL AND domain IS NOT NULL").groupBy("doc_id").agg(F.max("domain").alias("domain"))
     drawn = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id").select("domain", features(F.col("text")).alias("features"))
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id").select("domain", "text", words_of(F.col("text")).alias("words")).select("domain", features(F.col("text"), F.col("words")).alias("features"))
 
 
 class Classifier:
@@ -176,7 +177,8 @@ class Mixture:
 
     def membership(self, docs: DataFrame) -> DataFrame:
         text = F.coalesce("text", F.lit(""))
-        cut = docs.select("doc_id", token_count(text).alias("tokens"), features(text).alias("features"))
+        cut = docs.select("doc_id", text.alias("text"), words_of(text).alias("words"))
+        cut = cut.select("doc_id", F.size("words").cast("long").alias("tokens"), features(F.col("text"), F.col("words")).alias("features"))
         return cut.select("doc_id", "tokens", self.classifier.posteriors(F.col("features")).alias("p"))
 
     def rates(self) -> DataFrame:
@@ -190,7 +192,7 @@ class Mixture:
         text = F.coalesce("text", F.lit(""))
         rate = _rate(F.col("__p"), self.pulls)
         draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) / 1_000_003.0
-        rated = docs.withColumn("__f", features(text)).withColumn("__p", self.classifier.posteriors(F.col("__f")))
+        rated = docs.withColumn("__f", features(text, words_of(text))).withColumn("__p", self.classifier.posteriors(F.col("__f")))
         return rated.filter(draw < F.round(rate, 6)).select(*docs.columns)
 
 
