@@ -79,13 +79,13 @@ query("ret_view_sync", "SELECT count(*) AS visible FROM conversations")(lambda s
 def engine(s: SparkSession, d: str) -> Engine:
     e = Engine(s, place(s, "engine"))
     m = si.memories(s, d).select("tenant", "agent", F.col("session").cast("string").alias("session"), "turn", "text")
-    e.store(m.filter("tenant = 'tenant1'"), F.lit(si.NOW).cast("timestamp"))
+    e.store(m, F.lit(si.NOW).cast("timestamp"))
     return e
 
 
 @query("connector_db", "SELECT 'tenant1' AS tenant, count(*) AS memories FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id % 8 = 1)")
 def connector_db(s: SparkSession, d: str) -> DataFrame:
-    return engine(s, d).stats().select("tenant", "memories")
+    return engine(s, d).stats().filter("tenant = 'tenant1'").select("tenant", "memories")
 
 
 for _n in ("connector_http", "ad_mcp_tools", "prime"):
