@@ -1,6 +1,7 @@
 """License scans as an exact containment join of text blocks with templates.
 
-A block is a line of a text, a template a short notice; both are sets of words.
+A block is a line of a text, or with ``over_lines`` also any run of words over line
+ends as long as a template; a template is a short notice; both are sets of words.
 A block matches if it holds at least ``CONTAINED`` of a template's words. The
 words of the templates are ordered by the number of documents of the whole
 corpus that hold them, rarest first. With r words required of a template of t,
@@ -9,6 +10,11 @@ at least r words of the templates' vocabulary (length); and from the first
 common word on, both must have r words left (position). What passes is counted
 exactly. Phrases whose words stand consecutively are the base.
 
+A wrapped notice may stand behind comment marks and over blank lines: line ends
+count as blanks there. A run is as long as its template with its repetitions, and
+slides over the text as one count a template, of which only the words of the
+template's vocabulary are touched.
+
 Defined cases: null or empty text has no words and no labels; repeated rows each
 give their row; an empty table gives none; no other columns are read.
 """
@@ -16,6 +22,7 @@ give their row; an empty table gives none; no other columns are read.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 
@@ -86,7 +93,7 @@ class TemplateJoin:
             raise ValueError("too many templates to send to every task")
         vocabulary = sorted({w for t, _ in templates for w in t.encode().split()}, key=lambda w: (frequency.get(w, 0), w))
         self.rank = {w: i for i, w in enumerate(vocabulary)}
-        self.sets, self.labels, self.required = [], [], []
+        self.sets, self.labels, self.required, self.lengths = [], [], [], []
         self.index: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for k, (text, label) in enumerate(templates):
             ranks = sorted({self.rank[w] for w in text.encode().split()})
@@ -96,6 +103,7 @@ class TemplateJoin:
             self.sets.append(frozenset(ranks))
             self.labels.append(label)
             self.required.append(required)
+            self.lengths.append(math.ceil(round(len(text.split()) / contained, 9)))
         self.rare = frozenset(vocabulary[r] for r in self.index)
         self.least = min(self.required, default=0)
 
@@ -118,6 +126,45 @@ class TemplateJoin:
                     found[k] = common / len(self.sets[k])
         return found
 
+    def match_over_lines(self, words: list[bytes]) -> dict[int, float]:
+        """Largest containment of each template in a run of its length.
+
+        A run that matches holds one of the template's prefix words, so runs are
+        counted only in the stretches around those.
+        """
+        rank = self.rank
+        placed = [(at, rank[w]) for at, w in enumerate(words) if w in rank]
+        if len({r for _, r in placed}) < self.least:
+            return {}
+        near: dict[int, list[int]] = defaultdict(list)
+        for at, r in placed:
+            for k, _ in self.index.get(r, ()):
+                near[k].append(at)
+        found: dict[int, float] = {}
+        places = [at for at, _ in placed]
+        for k, rare in near.items():
+            own, length, most, n = self.sets[k], self.lengths[k], 0, 0
+            while n < len(rare):
+                start, end = rare[n] - length + 1, rare[n] + length
+                while n < len(rare) and rare[n] - length < end:
+                    end = rare[n] + length
+                    n += 1
+                stretch = [(at, r) for at, r in placed[bisect_left(places, start) : bisect_left(places, end)] if r in own]
+                counts: Counter[int] = Counter()
+                first = 0
+                for at, r in stretch:
+                    counts[r] += 1
+                    while stretch[first][0] <= at - length:
+                        old = stretch[first][1]
+                        counts[old] -= 1
+                        if not counts[old]:
+                            del counts[old]
+                        first += 1
+                    most = max(most, len(counts))
+            if most >= self.required[k]:
+                found[k] = most / len(own)
+        return found
+
 
 def phrase_places(words: list[bytes], phrases: list[tuple[list[bytes], str]]) -> list[tuple[int, str]]:
     """(first word, label) wherever a phrase's words stand consecutively."""
@@ -134,7 +181,7 @@ def phrase_places(words: list[bytes], phrases: list[tuple[list[bytes], str]]) ->
     return found
 
 
-def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, contained: float = CONTAINED) -> DataFrame:
+def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, contained: float = CONTAINED, over_lines: bool = False) -> DataFrame:
     """A row for each document with its base phrases and the labels of its blocks."""
     vocabulary = frozenset(w for t, _ in templates for w in t.encode().split())
     join = TemplateJoin(templates, word_frequencies(docs, vocabulary), contained)
@@ -155,6 +202,10 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, co
                         for k, share in join.match(block).items():
                             labels.add(join.labels[k])
                             score = max(score, share)
+                if over_lines and b"\n" in plain:
+                    for k, share in join.match_over_lines(words).items():
+                        labels.add(join.labels[k])
+                        score = max(score, share)
             starts = [at for at, _ in places]
             return len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score
 
@@ -164,4 +215,4 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, co
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"))
+    return scan(table(spark, sf_dir, "documents"), over_lines=True)

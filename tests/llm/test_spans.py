@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 
 from anamnesis.llm import license_scan, pii, secret_scan
 from anamnesis.llm.dfa import self_check
@@ -108,3 +109,29 @@ def test_license_join_is_brute_containment(spark, odd, odd_rows, none):
     rows = {x.doc_id: x for x in license_scan.scan(odd).collect()}
     assert rows[10].base_labels == "apache,mit" and (rows[10].n_base, rows[10].first_word, rows[10].last_word) == (2, 3, 8)
     assert rows[1].first_word is None and license_scan.scan(none).count() == 0 and license_scan.scan(odd).count() == len(odd_rows)
+
+
+def test_license_notices_wrapped_over_lines(spark):
+    notices = {label + str(n): (text, label) for n, (text, label) in enumerate(license_scan.TEMPLATES)}
+    wrapped = [("\n".join(" * " + x for x in textwrap.wrap(text, w)), label) for text, label in notices.values() for w in (30, 45, 75)]
+    rows = [(i, f"some code\n\n{t}\n\nmore code") for i, (t, _) in enumerate(wrapped)] + [(len(wrapped), "\n".join(w + " x" * 30 for w in license_scan.TEMPLATES[1][0].split()))]
+    got = {x.doc_id: (x.labels, x.score) for x in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), over_lines=True).collect()}
+    for i, (_, label) in enumerate(wrapped):
+        assert label in got[i][0].split(",") and got[i][1] == 1.0
+    assert got[len(wrapped)] == ("", 0.0)
+
+
+def test_license_runs_are_brute_containment():
+    templates = (("alpha beta gamma delta epsilon", "t1"), ("beta beta zeta eta", "t2"), ("gamma", "t3"))
+    r = random.Random(6)
+    vocab = [w.encode() for w in "alpha beta gamma delta epsilon zeta eta theta iota kappa x y z".split()]
+    join = license_scan.TemplateJoin(templates, {w: r.randint(1, 9) for w in vocab}, 0.75)
+    for _ in range(500):
+        words = [r.choice(vocab) for _ in range(r.randint(0, 40))]
+        want = {}
+        for k, (text, _) in enumerate(templates):
+            own, n = set(text.encode().split()), -(-len(text.split()) * 4 // 3)
+            most = max((len(own & set(words[i : i + n])) for i in range(len(words))), default=0)
+            if most >= 0.75 * len(own):
+                want[k] = most / len(own)
+        assert join.match_over_lines(words) == want
