@@ -3,15 +3,15 @@
 Every page is cut into elements once a pass. The first pass hashes each
 element's subtree (its tags and texts) and Spark counts, per host, on how many
 pages with different main text a subtree stands; those on at least
-``LEAST_PAGES`` pages and ``LEAST_SHARE`` of the host's are template. The second
-pass drops them, and what by tag, role or class is no article: menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles and comments. If a
-page has an article or main element, only that is read, and its prose blocks
-stay even if the site repeats them.
+``LEAST_PAGES`` pages, and at least the binary logarithm of the host's number of
+pages, are template, so that a section's banner counts on a host of any size. The
+second pass drops them, and what by tag, role or class is no article: menus,
+headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments.
+If a page has a main element or articles, only these are read, and their prose
+blocks stay even if the site repeats them.
 
-A host's template subtrees are at most a page's average number of subtrees
-divided by ``LEAST_SHARE``, so a host's list is bounded; a page meets only its
-own host's list.
+A host's list of templates may be long: short ones are sent to every task once,
+long ones are joined by subtree, so that a page meets only what stands on it.
 
 Defined cases: null or empty html gives empty text; a url without a host counts
 as host ''; unclosed and misplaced tags are repaired like a browser's in the
@@ -22,8 +22,9 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from anamnesis.llm.common import settle, small_batches, table
 
-LEAST_PAGES, LEAST_SHARE = 5, 0.2
+LEAST_PAGES = 5
 MOST_BROADCAST, SALTS = 1_000_000, 32
 # Element names by their role in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -55,16 +56,19 @@ _HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 
 class Element:
-    """A node: tag, whether it is noise by itself, and children (elements or text)."""
+    """A node: tag, whether it is noise by itself, or an article beside
+    the main ones by its class, and children (elements or text)."""
 
-    __slots__ = ("children", "digest", "noise", "tag")
+    __slots__ = ("beside", "children", "digest", "noise", "tag")
 
     def __init__(self, tag: str, attributes: str = "") -> None:
         self.tag, self.children, self.digest = tag, [], 0
-        self.noise = tag in HIDDEN
+        self.noise, self.beside = tag in HIDDEN, False
         if attributes and not self.noise and "=" in attributes:
             found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
-            self.noise = bool(tag not in ("html", "body", "article", "main") and _NOISE.search(f"{found.get('class', '')} {found.get('id', '')}") or found.get("role", "").lower() in _ROLES or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")))
+            named = _NOISE.search(f"{found.get('class', '')} {found.get('id', '')}")
+            self.beside = bool(tag == "article" and named)
+            self.noise = bool(tag not in ("html", "body", "article", "main") and named or found.get("role", "").lower() in _ROLES or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")))
             self.noise |= bool(re.search(r"(?:^|\s)hidden(?:\s|$)", _ATTRIBUTE.sub("", attributes)))
         elif attributes and re.search(r"(?:^|\s)hidden(?:\s|$)", attributes):
             self.noise = True
@@ -122,30 +126,31 @@ def _digest(element: Element) -> int:
     return element.digest
 
 
-def main_element(root: Element) -> Element:
-    """The article or main element with most text, else the body, else all."""
+def main_elements(root: Element) -> list[Element]:
+    """The article; of several, the main element, or without one all outermost
+    articles in page order that are no comments or the like by their class. Else
+    the main element, the body, or all."""
     found: dict[str, list[Element]] = {"article": [], "main": [], "body": []}
-    todo = [root]
+    outer, todo = [], [(root, False)]
     while todo:
-        e = todo.pop()
+        e, within = todo.pop()
         if e.tag in found:
             found[e.tag].append(e)
+        if e.tag == "article" and not within:
+            outer.append(e)
+            within = True
         if not e.noise:
-            todo += [c for c in e.children if not isinstance(c, str)]
-    articles = found["article"]
-    if len(articles) > 1 and found["main"]:
-        return found["main"][0]
-    return max(articles, key=_size) if articles else next((found[t][0] for t in ("main", "body") if found[t]), root)
-
-
-def _size(e: Element) -> int:
-    return sum(len(c) if isinstance(c, str) else _size(c) for c in e.children)
+            todo += [(c, within) for c in e.children if not isinstance(c, str)]
+    if len(found["article"]) > 1 and found["main"]:
+        return found["main"][:1]
+    outer.reverse()
+    return [e for e in outer if not e.beside] or outer or next((found[t][:1] for t in ("main", "body") if found[t]), [root])
 
 
 def blocks(root: Element, template: frozenset[int] = frozenset()) -> list[str]:
-    """Texts of the main element's blocks in page order, without noise and template."""
-    top = main_element(root)
-    inside = top.tag in ("article", "main")
+    """Texts of the main elements' blocks in page order, without noise and template."""
+    tops = main_elements(root)
+    inside = tops[0].tag in ("article", "main")
     out: list[str] = []
     run: list[str] = []
 
@@ -175,18 +180,18 @@ def blocks(root: Element, template: frozenset[int] = frozenset()) -> list[str]:
             else:
                 walk(c, prose)
 
-    walk(top, False)
-    end()
+    for top in tops:
+        walk(top, False)
+        end()
     return out
 
 
 def subtrees(root: Element) -> list[int]:
-    """Digests of the elements that a template may be: blocks of the main element
+    """Digests of the elements that a template may be: blocks of the main elements
     that are no noise by themselves; in an article or main element, no prose."""
     _digest(root)
-    top = main_element(root)
-    inside = top.tag in ("article", "main")
-    found, todo = set(), [top]
+    todo = main_elements(root)
+    inside, found = todo[0].tag in ("article", "main"), set()
     while todo:
         for c in todo.pop().children:
             if not isinstance(c, str) and not c.noise and not (inside and c.tag in PROSE):
@@ -219,8 +224,8 @@ def _page_marks(pages: DataFrame) -> DataFrame:
     return pages.select("url", "html").mapInArrow(run, "host string, main long, digests array<long>")
 
 
-def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(host, template): the subtrees that recur over a host's pages.
+def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """(host, digest): the subtrees that recur over a host's pages.
 
     Pages of one host with the same main text count once, so that copies of an
     article are no template. Counts are summed before each shuffle.
@@ -229,44 +234,69 @@ def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share
     marked = own.select("host", F.explode(F.concat("digests", F.array(F.lit(None).cast("long")))).alias("digest"))
     counts = marked.groupBy("host", "digest").agg(F.count("*").alias("n"))
     sizes = counts.filter("digest IS NULL").select("host", F.col("n").alias("pages"))
-    often = counts.filter((F.col("digest").isNotNull()) & (F.col("n") >= least_pages)).join(sizes, "host").filter(F.col("n") >= least_share * F.col("pages"))
-    return often.groupBy("host").agg(F.collect_list("digest").alias("template"))
+    often = counts.filter((F.col("digest").isNotNull()) & (F.col("n") >= least_pages)).join(sizes, "host")
+    return often.filter(F.col("n") >= F.log2("pages")).select("host", "digest")
+
+
+def _own_templates(own: DataFrame, templates: DataFrame) -> DataFrame:
+    """(__host, __key, template) of each page text that holds templates, by a join on
+    single subtrees. One subtree may stand on all pages of a host, so pages are
+    salted and every template repeated for each salt."""
+    schema = pa.schema([("__host", pa.string()), ("__key", pa.string()), ("digests", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = [subtrees(parse(page or "")) for page in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1).cast(pa.string()), pa.array(digests, schema.field(2).type)], schema=schema)
+
+    marks = own.select("__host", "__key", "html").mapInArrow(run, "__host string, __key string, digests array<long>")
+    single = marks.groupBy("__host", "__key").agg(F.first("digests").alias("digests")).select("__host", "__key", F.explode("digests").alias("digest"))
+    salted = single.withColumn("__salt", F.pmod(F.xxhash64("__key"), F.lit(SALTS)).cast("int"))
+    each = templates.withColumnRenamed("host", "__host").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(each, ["__host", "digest", "__salt"]).groupBy("__host", "__key").agg(F.collect_list("digest").alias("template"))
 
 
-def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+def extract(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     """(page_id, url, text, n_chars) of every page.
 
-    Up to MOST_BROADCAST template digests are broadcast, so that no page moves;
-    beyond, pages are salted and every host's list repeated for each salt, so
-    that no host's pages meet in one task.
+    Up to MOST_BROADCAST template digests are sent to every task, so that no page
+    moves; beyond, each page is joined with those of its own subtrees.
     """
-    templates = settle(site_templates(pages, least_pages, least_share).withColumnRenamed("host", "__host"))
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST.pattern, 1))
-    own = pages.select("page_id", "url", "html", host.alias("__host"))
-    size = templates.agg(F.coalesce(F.sum(F.size("template") + 1), F.lit(0)).alias("n")).first().n
-    if size <= MOST_BROADCAST:
-        joined = own.join(F.broadcast(templates), "__host", "left")
+    templates = settle(site_templates(pages, least_pages))
+    own = pages.select("page_id", "url", "html")
+    held = None
+    if templates.count() <= MOST_BROADCAST:
+        lists = templates.groupBy("host").agg(F.array_sort(F.collect_list("digest")).alias("digests")).toArrow()
+        held = pages.sparkSession.sparkContext.broadcast({h.as_py(): np.array(x.values) for h, x in zip(lists.column(0), lists.column(1), strict=True)})
+        joined = own
     else:
-        salted = templates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = own.withColumn("__salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["__host", "__salt"], "left")
-    joined = joined.select("page_id", "url", "html", "template")
+        host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST.pattern, 1))
+        keyed = own.withColumns({"__host": host, "__key": F.md5(F.coalesce("html", F.lit("")).cast("binary"))})
+        joined = keyed.join(_own_templates(keyed, templates), ["__host", "__key"], "left").select("page_id", "url", "html", "template")
     key = pages.schema["page_id"].dataType.simpleString()
 
-    def start() -> Callable[[str, list[int] | None], tuple[str, int]]:
-        def row(page: str, template: list[int] | None) -> tuple[str, int]:
-            root = parse(page)
-            if template:
-                _digest(root)
-            text = "\n".join(blocks(root, frozenset(template or ())))
-            return text, len(text)
-
-        return row
+    def standing(root: Element, sent: np.ndarray) -> frozenset[int]:
+        """The page's subtrees that are in its host's sorted list."""
+        found = np.array(subtrees(root), np.int64)
+        if not len(found):
+            return frozenset()
+        at = np.minimum(np.searchsorted(sent, found), len(sent) - 1)
+        return frozenset(found[sent[at] == found].tolist())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = start()
+        lists = held.value if held else None
         for batch in batches:
-            rows = [f(page or "", t) for page, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            urls, texts = batch.column(1).to_pylist(), []
+            joint = [None] * len(urls) if held else batch.column(3).to_pylist()
+            for url, page, template in zip(urls, batch.column(2).to_pylist(), joint, strict=True):
+                root = parse(page or "")
+                sent = lists.get(host_of(url)) if held else None
+                if sent is not None:
+                    template = standing(root, sent)
+                elif template:
+                    _digest(root)
+                texts.append("\n".join(blocks(root, frozenset(template or ()))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     small_batches(pages)
     return joined.mapInArrow(run, f"page_id {key}, url string, text string, n_chars long")

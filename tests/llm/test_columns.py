@@ -203,3 +203,21 @@ def test_pages(spark):
     assert text[21] == text[22] == "" and {t for i, t, _ in got if i == 23} == {"T\nSite wide box", "cut &am"}
     assert all(n == len(t) for _, t, n in got)
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [html_text.MOST_BROADCAST, 0])
+def test_page_templates_of_a_section(spark, monkeypatch, most):
+    monkeypatch.setattr(html_text, "MOST_BROADCAST", most)
+    layout = lambda i: f"<div>Box of layout {i % 8}</div>"
+    rows = [(i, "http://H.example/x", PAGE.format((layout(i) if i < 48 else "") + f"<div>Story {i}</div><div>Seldom {i // 3}</div>")) for i in range(60)]
+    rows += [(None, None, None), (70, "http://o.example/", PAGE.format(layout(0) + "<p>Alone</p>"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {x.page_id: x.text for x in html_text.extract(pages).collect()}
+    assert len(got) == len(rows) and got[None] == "" and got[70] == "Box of layout 0\nAlone"
+    assert all(got[i] == f"Story {i}\nSeldom {i // 3}" for i in range(60))
+
+
+def test_page_of_several_articles():
+    page = PAGE.format("<p>List</p><article><p>One</p><article class='comment'><p>in</p></article></article><div><article id='b'><p>Two, longer</p></article></div><article class='related'><p>See this much longer other text</p></article>")
+    assert html_text.blocks(html_text.parse(page)) == ["One", "in", "Two, longer"]
+    assert html_text.blocks(html_text.parse(PAGE.format("<main><article><p>A</p></article><article><p>B</p></article></main>"))) == ["A", "B"]
