@@ -8,6 +8,10 @@ its own row and the domains' residuals, so a step is one aggregation over a
 narrow table; the residuals (a number a domain and step) are all that reaches
 the driver, and a document's rate is the fold of its row over them.
 
+No document is drawn twice, so where a rate is over one all are drawn at their
+rate divided by the greatest: the drawn tokens are that part of the fitted totals,
+in the same shares.
+
 The classifier is fitted on at most ``SAMPLE`` labelled documents, drawn by hash
 of the id. Word stems and shape marks that are ``LIFT`` times as common in a domain
 as overall are that domain's marks; posteriors are the label shares among texts
@@ -174,6 +178,7 @@ class Mixture:
         self.classifier = Classifier.fit(labelled_sample(docs, labels))
         self.members = settle(self.membership(docs))
         self.pulls = fit_rates(self.members, weights)
+        self._part: float | None = None
 
     def membership(self, docs: DataFrame) -> DataFrame:
         text = F.coalesce("text", F.lit(""))
@@ -186,11 +191,18 @@ class Mixture:
         named = [F.round(F.col("p")[i], 9).alias(f"p_{d}") for i, d in enumerate(DOMAINS)]
         return self.members.select("doc_id", "tokens", *named, F.round(_rate(F.col("p"), self.pulls), 6).alias("rate"))
 
+    def part(self) -> float:
+        """Part of the fitted totals that can be drawn without repeats."""
+        if self._part is None:
+            most = self.members.filter("tokens > 0").agg(F.max(_rate(F.col("p"), self.pulls))).first()[0]
+            self._part = 1 / max(1.0, most or 1.0)
+        return self._part
+
     def mixed_documents(self, docs: DataFrame) -> DataFrame:
-        """The documents drawn at their rates: one whose rate is under one stays if
-        a hash of its id and text lies under the rate; no document comes twice."""
+        """The documents drawn at their rates times part(): one stays if a hash of
+        its id and text lies under that; no document comes twice."""
         text = F.coalesce("text", F.lit(""))
-        rate = _rate(F.col("__p"), self.pulls)
+        rate = _rate(F.col("__p"), self.pulls) * self.part()
         draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) / 1_000_003.0
         rated = docs.withColumn("__f", features(text, words_of(text))).withColumn("__p", self.classifier.posteriors(F.col("__f")))
         return rated.filter(draw < F.round(rate, 6)).select(*docs.columns)

@@ -85,6 +85,25 @@ def test_mixing_meets_targets(spark, none):
     assert empty.rates().count() == 0 and empty.mixed_documents(none).columns == none.columns
 
 
+def test_mixed_tokens_are_one_part_of_the_fitted_totals(spark):
+    """Soft posteriors: good documents' rates are over one, low ones' under it."""
+    marked = {0: ("zebra", 0.8), 1: ("yak", 0.3)}
+    docs = spark.createDataFrame([(i, f"{marked[i % 2][0]} " * 30) for i in range(4000)], "doc_id long, text string")
+    m = mixing.Mixture(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    p = F.when(F.col("doc_id") % 2 == 0, F.array(*map(F.lit, (0.8, 0.2, 0.0)))).otherwise(F.array(*map(F.lit, (0.3, 0.7, 0.0))))
+    m.members = m.members.withColumn("p", p)
+    m.classifier.posteriors = lambda feats: F.when(F.array_contains(feats, "zebra"), F.array(*map(F.lit, (0.8, 0.2, 0.0)))).otherwise(F.array(*map(F.lit, (0.3, 0.7, 0.0))))
+    m.pulls = mixing.fit_rates(m.members, {"good": 0.75, "low": 0.25, "toxic": 0.0})
+    rates = m.rates().toPandas()
+    most = rates.rate.max()
+    assert most > 1.15 and abs(m.part() - 1 / most) < 1e-5
+    drawn = {x.doc_id for x in m.mixed_documents(docs).collect()}
+    kept = rates[rates.doc_id.isin(drawn)]
+    for d in ("good", "low"):
+        fitted, got = (rates.tokens * rates[f"p_{d}"] * rates.rate).sum(), (kept.tokens * kept[f"p_{d}"]).sum()
+        assert abs(got - fitted * m.part()) < 0.03 * fitted
+
+
 def test_mixing_handles_odd_rows(spark, odd, odd_rows):
     m = mixing.Mixture(odd, spark.createDataFrame([(3, 1, 0), (None, 1, 0), (8, None, None)], "doc_id long, quality int, toxic int"))
     assert m.rates().count() == len(odd_rows) and m.mixed_documents(odd).columns == odd.columns
