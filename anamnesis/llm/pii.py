@@ -1,20 +1,26 @@
 """Personal data by a semi-Markov conditional random field.
 
-A text is cut into words (runs without white space). A segment of up to
-``LONGEST`` neighbouring words, stripped of surrounding punctuation, is a
-candidate entity if it holds a digit or an at sign; whole-span features (digit
-count, checksum, separators, shape, the word before) score it for every type,
-and all other words are outside segments of length one with score zero. The
-dynamic programme over boundaries and types therefore falls apart into islands
-of words that some candidate touches, and is exact on each. Weights are fitted
-here by gradient ascent on the segment likelihood of generated sentences.
+A text's lines are cut into words (runs without ASCII white space). A word is
+active if it holds a digit, an at sign or a spoken sign such as ``[at]``; the
+neighbours of a spoken sign are active too. A candidate entity is a segment of up
+to ``LONGEST`` words of one line that begins and ends with active ones, stripped of
+surrounding punctuation. Whole-span features (digit count, checksum, separators,
+shape, the word before) score it for every type, a transition weight scores each
+two neighbouring segments' types, and any other word is an outside segment. The
+dynamic programme over boundaries and types is exact: candidates cannot reach over
+a line end or over more than ``LONGEST - 2`` inactive words, and outside words in a
+row score nothing, so it falls apart into islands. Weights are fitted here by
+gradient ascent on the segmentation likelihood of generated sentences.
 
 Plain patterns give the base spans, which always stay; the field's spans that
 touch no base span are added.
 
 Defined cases: null or empty text has no spans; offsets are code points, end
-exclusive; repeated rows each give their row; an empty table gives none; no
-columns other than the key and the text are read.
+exclusive; a text of any length is read whole, in time that grows with it, long
+words and numbers included; of segmentations that score alike the one with more
+outside words is taken; repeated rows each give their row; an empty table gives
+none; no columns other than the key and the text are read by ``detect``, and extra
+columns pass through ``redact_documents`` whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +29,10 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,8 +50,18 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_MARK = re.compile(r"[0-9@]")
+_SPOKEN = re.compile(r"(?i)[(\[{](?:at|dot)[)\]}]")
+# Begins with a class, for which the engine skips ahead.
+_MARK = re.compile(r"[0-9@(\[{](?:(?<=[0-9@])|(?i:at|dot)[)\]}])")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_BLANK = re.compile(r"[\x20\x09\x0B-\x0D]*")
+_SPACES = " \t\n\v\f\r"
+
+
+def _byte(digits: str) -> bool:
+    """Whether a number, however long it is written, is at most 255."""
+    plain = digits.lstrip("0")
+    return len(plain) < 3 or len(plain) == 3 and plain <= "255"
 
 
 def luhn(digits: str) -> bool:
@@ -72,7 +90,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     found = [(s, 0, e) for s, e in _emails(text)] if "@" in text else []
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(int(x) <= 255 for x in m[0].split(".")):
+            if all(map(_byte, m[0].split("."))):
                 found.append((m.start(), 1, m.end()))
         for m in _CARD.finditer(text):
             if 14 <= len(digits := re.sub("[ -]", "", m[0])) <= 19 and luhn(digits):
@@ -90,7 +108,7 @@ _SHAPES = (
     ("plus", re.compile(r"\+[0-9][0-9 ().-]+")),
     ("area", re.compile(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}")),
     ("three_two_four", re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}")),
-    ("iban", re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{1,4}){3,8}")),
+    ("iban", re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?")),
     ("digits_only", re.compile(r"[0-9]+")),
     ("digit_groups", re.compile(r"[0-9]+(?:[ -][0-9]+)+")),
     ("decimal", re.compile(r"[0-9]+[.,:/][0-9]+")),
@@ -103,6 +121,7 @@ _HINTS = {
     "ip": frozenset("ip host address server".split()),
     "email": frozenset("email mail contact".split()),
 }
+_HINT_WORDS = frozenset().union(*_HINTS.values())
 
 
 def _iban_valid(text: str) -> bool:
@@ -120,40 +139,74 @@ def span_features(span: str, before: str, words: int) -> list[str]:
     if 14 <= len(digits) <= 19 and not re.search("[^0-9 -]", span):
         found.append(f"luhn:{luhn(digits)}")
     if "quad" in shapes:
-        found.append(f"bytes:{all(int(x) <= 255 for x in span.split('.'))}")
+        found.append(f"bytes:{all(map(_byte, span.split('.')))}")
     if "iban" in shapes:
         found.append(f"mod97:{_iban_valid(span)}")
     if re.search("[^0-9A-Za-z @.+()_%-]", span):
         found.append("odd")
-    word = before.lower().strip(":.,;()#")
+    word = _hint_word(before)
     found += [f"hint:{kind}" for kind, hints in _HINTS.items() if word in hints]
     return found
 
 
+def _hint_word(before: str) -> str:
+    """The word before as it stands in a list of hints, or nothing."""
+    word = before[-20:].lower().strip(":.,;()#")
+    return word if word in _HINT_WORDS else ""
+
+
+#: Spans of up to 64 characters whose scores a task remembers.
+REMEMBERED = 20_000
 _EDGE = ".,;:!?\"'<>[]{}|*#$%&"
 
 
-def islands(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Runs of words that candidates can touch: a marked word and its reach."""
-    m = _MARK.search(text)
-    until, run = -1, []
-    while m:
-        if m.start() < until:
-            m = _MARK.search(text, until)
-            continue
-        left = m.start()
-        while left > max(until, 0) and not text[left - 1].isspace():
-            left -= 1
-        word = _WORD.match(text, left)
-        gap = text[run[-1][1] : left].split() if run else None
-        if run and len(gap) > 2:
-            yield run
-            run = []
-        elif run and gap:
-            run += [x.span() for x in _WORD.finditer(text, run[-1][1], left)]
-        run.append(word.span())
-        until = word.end()
-        m = _MARK.search(text, until)
+Words = list[tuple[int, int, bool]]
+
+
+def _active_words(text: str) -> Iterator[tuple[int, int]]:
+    """Words with a mark, and those beside a spoken sign; each once, in order."""
+    done, forced = 0, False
+    while True:
+        if forced:
+            left = _BLANK.match(text, done).end()
+            if left == len(text) or text[left] == "\n":
+                forced = False
+                continue
+        else:
+            m = _MARK.search(text, done)
+            if not m:
+                return
+            left = m.start()
+            while left > done and text[left - 1] not in _SPACES:
+                left -= 1
+        right = _WORD.match(text, left).end()
+        forced = _SPOKEN.search(text, left, right) is not None
+        if forced:
+            end = left
+            while end > done and text[end - 1] in _SPACES and text[end - 1] != "\n":
+                end -= 1
+            start = end
+            while start > done and text[start - 1] not in _SPACES:
+                start -= 1
+            if start < end:
+                yield start, end
+        yield left, right
+        done = right
+
+
+def islands(text: str) -> Iterator[Words]:
+    """Runs of words (start, end, active) that candidates can touch."""
+    run: Words = []
+    for left, right in _active_words(text):
+        if run:
+            last = run[-1][1]
+            between = [] if text.find("\n", last, left) >= 0 else [m.span() for m in _WORD.finditer(text, last, left)]
+            if text.find("\n", last, left) >= 0 or len(between) > LONGEST - 2:
+                yield run
+                run = []
+            else:
+                run += [(a, b, False) for a, b in between]
+        run.append((left, right, True))
     if run:
         yield run
 
@@ -161,51 +214,120 @@ def islands(text: str) -> Iterator[list[tuple[int, int]]]:
 Candidate = tuple[int, int, int, int, list[str]]
 
 
-def candidates(text: str, run: list[tuple[int, int]]) -> list[Candidate]:
-    """(first word, word after, start, end, features) of an island's segments."""
-    found = []
-    for i, (left, _) in enumerate(run):
-        before = text[max(0, left - 40) : left].split()[-1:]
+def _word_before(text: str, at: int) -> str:
+    """The word of the same line that ends before a place, or nothing."""
+    while at and text[at - 1] in _SPACES:
+        at -= 1
+        if text[at] == "\n":
+            return ""
+    start = at
+    while start and text[start - 1] not in _SPACES:
+        start -= 1
+    return text[start:at]
+
+
+def segments(text: str, run: Words) -> Iterator[tuple[int, int, int, int, str]]:
+    """(first word, word after, start, end, word before) of an island's segments."""
+    for i, (left, _, active) in enumerate(run):
+        if not active:
+            continue
+        before = text[run[i - 1][0] : run[i - 1][1]] if i else _word_before(text, left)
         for j in range(i + 1, min(i + LONGEST, len(run)) + 1):
-            right = run[j - 1][1]
-            if right - left > 120:
-                break
-            span = text[left:right]
-            if "\n" in span:
-                break
+            if not run[j - 1][2]:
+                continue
+            span = text[left : run[j - 1][1]]
             start = left + len(span) - len(span.lstrip(_EDGE))
             end = left + len(span.rstrip(_EDGE))
             if start < end and _MARK.search(text, start, end):
-                found.append((i, j, start, end, span_features(text[start:end], before[0] if before else "", j - i)))
-    return found
+                yield i, j, start, end, before
 
 
+def candidates(text: str, run: Words) -> list[Candidate]:
+    """(first word, word after, start, end, features) of an island's segments."""
+    return [(i, j, s, e, span_features(text[s:e], before, j - i)) for i, j, s, e, before in segments(text, run)]
+
+
+#: A kind and a feature, or two neighbouring segments' kinds.
 Weights = dict[tuple[str, str], float]
+OUT = "out"
 
 
 def _scores(cands: list[Candidate], weights: Weights) -> list[list[float]]:
     return [[sum(weights.get((kind, f), 0.0) for f in c[4]) for kind in KINDS] for c in cands]
 
 
-def decode(run: list[tuple[int, int]], cands: list[Candidate], weights: Weights) -> list[tuple[int, int, int]]:
-    """The best segmentation of an island: (start, kind's number, end)."""
-    ends: dict[int, list[tuple[Candidate, list[float]]]] = defaultdict(list)
-    for c, s in zip(cands, _scores(cands, weights), strict=True):
-        ends[c[1]].append((c, s))
-    best: list[tuple[float, tuple | None, int]] = [(0.0, None, 0)]
-    for j in range(1, len(run) + 1):
-        now = (best[j - 1][0], None, j - 1)
-        for c, s in ends[j]:
-            k = max(range(len(KINDS)), key=s.__getitem__)
-            if best[c[0]][0] + s[k] > now[0]:
-                now = (best[c[0]][0] + s[k], (c[2], k, c[3]), c[0])
-        best.append(now)
-    found, j = [], len(run)
-    while j:
-        if best[j][1]:
-            found.append(best[j][1])
-        j = best[j][2]
-    return found[::-1]
+def step_weight(weights: Weights, left: str, right: str) -> float:
+    """The score of two neighbouring segments' kinds; outside words in a row have none."""
+    return weights.get((left, "then " + right), 0.0)
+
+
+class Field:
+    """The weights ready for decoding."""
+
+    def __init__(self, weights: Weights) -> None:
+        self.weights = weights
+        every = (*KINDS, OUT)
+        self.step = {(a, b): step_weight(weights, a, b) for a in every for b in every}
+        # The most that a segment's steps can add over outside words in its place.
+        self.most = [
+            max(self.step[a, k] - self.step[a, OUT] for a in every) + max(self.step[k, b] - self.step[OUT, b] for b in every)
+            for k in KINDS
+        ]
+        self.known: dict[tuple[str, str, int], list[tuple[str, float]]] = {}
+
+    def scores(self, span: str, before: str, words: int) -> list[tuple[str, float]]:
+        """The kinds that can beat outside words, with the span's score; the others
+        are in no best segmentation."""
+        before = _hint_word(before)
+        key = span, before, words
+        found = self.known.get(key)
+        if found is None:
+            feats = span_features(span, before, words)
+            own = [sum(self.weights.get((kind, f), 0.0) for f in feats) for kind in KINDS]
+            found = [(kind, x) for kind, x, most in zip(KINDS, own, self.most, strict=True) if x + most > 0]
+            if len(span) <= 64:
+                if len(self.known) >= REMEMBERED:
+                    self.known.clear()
+                self.known[key] = found
+        return found
+
+    def decode(self, text: str, run: Words) -> list[tuple[int, int, int]]:
+        """The best segmentation of an island: (start, kind's number, end)."""
+        ends: dict[int, list[tuple[int, int, int, list[tuple[str, float]]]]] = defaultdict(list)
+        for i, j, s, e, before in segments(text, run):
+            if own := self.scores(text[s:e], before, j - i):
+                ends[j].append((i, s, e, own))
+        if not ends:
+            return []
+        step = self.step
+        # best[j]: for the kind of the segment that ends at j, score, segment and kind before.
+        best: list[dict[str, tuple[float, tuple[int, int, int] | None, str]]] = [{OUT: (0.0, None, "")}]
+        # leads[i]: for a segment's kind, the best way to its first word.
+        leads: list[dict[str, tuple[float, str]]] = [{} for _ in run]
+        for j in range(1, len(run) + 1):
+            before = best[-1]
+            if len(before) == 1:
+                now = {OUT: (before[OUT][0] + step[OUT, OUT], None, OUT)}
+            else:
+                score, kind = max((v[0] + step[k, OUT], k) for k, v in before.items())
+                now = {OUT: (score, None, kind)}
+            for i, s, e, own in ends.get(j, ()):
+                lead = leads[i]
+                for kind, x in own:
+                    if kind not in lead:
+                        lead[kind] = max((v[0] + step[k, kind], k) for k, v in best[i].items())
+                    score, last = lead[kind]
+                    if kind not in now or score + x > now[kind][0]:
+                        now[kind] = (score + x, (i, s, e), last)
+            best.append(now)
+        found, j = [], len(run)
+        kind = max(best[j], key=lambda k: (best[j][k][0] + step[k, OUT], k == OUT))
+        while j:
+            _, c, last = best[j][kind]
+            if c:
+                found.append((c[1], KINDS.index(kind), c[2]))
+            j, kind = (c[0] if c else j - 1), last
+        return found[::-1]
 
 
 def _digits(r: random.Random, n: int) -> str:
@@ -231,7 +353,7 @@ def examples(count: int, seed: int) -> list[tuple[str, list[tuple[int, int, int]
     r = random.Random(seed)
     word = lambda: "".join(r.choice("abdeinorstuhlm") for _ in range(r.randint(2, 9)))
     make = {
-        "email": lambda: r.choice([f"{word()}.{_digits(r, 2)}@{word()}{r.choice(['', '3'])}.{r.choice(['com', 'org', 'example.net'])}", f"{word()} [at] {word()}{_digits(r, 1)}.org", f"{word()}{_digits(r, 2)}(at){word()}(dot)com"]),
+        "email": lambda: r.choice([f"{word()}.{_digits(r, 2)}@{word()}{r.choice(['', '3'])}.{r.choice(['com', 'org', 'example.net'])}", f"{word()} [at] {word()}{_digits(r, 1)}.org", f"{word()}.{word()} [at] {word()}.com", f"{word()} (at) {word()} (dot) org", f"{word()}{_digits(r, 2)}(at){word()}(dot)com"]),
         "ip": lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)),
         "card": lambda: _card(r),
         "phone": lambda: r.choice([f"+1 ({_digits(r, 3)}) 555-{_digits(r, 4)}", f"+{_digits(r, 2)} {_digits(r, 3)} {_digits(r, 7)}", f"({_digits(r, 3)}) {_digits(r, 3)}-{_digits(r, 4)}", f"{_digits(r, 3)}-{_digits(r, 3)}-{_digits(r, 4)}", f"{_digits(r, 3)}.{_digits(r, 3)}.{_digits(r, 4)}"]),
@@ -261,50 +383,97 @@ def examples(count: int, seed: int) -> list[tuple[str, list[tuple[int, int, int]
     return out
 
 
-def fit(count: int = 500, rounds: int = 12, rate: float = 0.4, decay: float = 1e-3, seed: int = 7) -> Weights:
+def _sums(n: int, cands: list[Candidate], scores: list[list[float]], step: dict[tuple[str, str], float]) -> tuple[list[list[float]], dict[tuple[str, str], float], float]:
+    """Each candidate's probability of each kind and the expected number of each step,
+    by forward and backward sums over all segmentations; and their sum's logarithm."""
+    starting: dict[int, list[int]] = defaultdict(list)
+    ending: dict[int, list[int]] = defaultdict(list)
+    for x, c in enumerate(cands):
+        starting[c[0]].append(x)
+        ending[c[1]].append(x)
+    ahead: list[dict[str, float]] = [{OUT: 1.0}]
+    for j in range(1, n + 1):
+        now = {OUT: sum(v * step[k, OUT] for k, v in ahead[j - 1].items())}
+        for x in ending[j]:
+            for t, kind in enumerate(KINDS):
+                way = sum(v * step[k, kind] for k, v in ahead[cands[x][0]].items())
+                now[kind] = now.get(kind, 0.0) + way * scores[x][t]
+        ahead.append(now)
+    back: list[dict[str, float]] = [{} for _ in range(n)] + [{k: step[k, OUT] for k in (*KINDS, OUT)}]
+    for i in range(n - 1, -1, -1):
+        for k in ahead[i]:
+            back[i][k] = step[k, OUT] * back[i + 1][OUT] + sum(step[k, kind] * scores[x][t] * back[cands[x][1]][kind] for x in starting[i] for t, kind in enumerate(KINDS))
+    total = back[0][OUT]
+    inside = [[scores[x][t] * back[c[1]][kind] / total * sum(v * step[k, kind] for k, v in ahead[c[0]].items()) for t, kind in enumerate(KINDS)] for x, c in enumerate(cands)]
+    steps: dict[tuple[str, str], float] = defaultdict(float)
+    for j in range(n + 1):
+        for k, v in ahead[j].items():
+            steps[k, OUT] += v * step[k, OUT] * (back[j + 1][OUT] if j < n else 1.0) / total
+            for x in starting[j]:
+                for t, kind in enumerate(KINDS):
+                    steps[k, kind] += v * step[k, kind] * scores[x][t] * back[cands[x][1]][kind] / total
+    return inside, steps, math.log(total)
+
+
+@lru_cache(maxsize=4)
+def fit(count: int = 500, rounds: int = 10, rate: float = 0.4, decay: float = 1e-3, seed: int = 7) -> Weights:
     """Weights by stochastic ascent on the log likelihood of whole segmentations.
 
-    For each island, forward and backward sums over all segmentations give every
-    candidate's probability of each type; the gradient is seen minus expected.
+    The gradient is seen minus expected, of features and of steps between kinds.
     """
     data = []
     for text, spans in examples(count, seed):
         planted = {(s, e): k for s, k, e in spans}
         for run in islands(text):
             cands = candidates(text, run)
-            data.append((len(run), cands, [planted.get((c[2], c[3])) for c in cands]))
+            truth = [planted.get((c[2], c[3])) for c in cands]
+            at = {c[0]: (c[1], KINDS[k]) for c, k in zip(cands, truth, strict=True) if k is not None}
+            seen: dict[tuple[str, str], float] = defaultdict(float)
+            i, last = 0, OUT
+            while i < len(run):
+                i, kind = at.get(i, (i + 1, OUT))
+                seen[last, kind] += 1
+                last = kind
+            seen[last, OUT] += 1
+            data.append((len(run), cands, truth, seen))
     weights: Weights = defaultdict(float)
+    pairs = [(a, b) for a in (*KINDS, OUT) for b in (*KINDS, OUT)]
     for turn in range(rounds):
-        step = rate / (1 + 0.3 * turn)
-        for n, cands, truth in data:
+        pace = rate / (1 + 0.3 * turn)
+        for n, cands, truth, seen in data:
             scores = [[math.exp(min(s, 30.0)) for s in row] for row in _scores(cands, weights)]
-            ahead, back = [1.0] + [0.0] * n, [0.0] * n + [1.0]
-            for j in range(1, n + 1):
-                ahead[j] = ahead[j - 1] + sum(ahead[c[0]] * sum(s) for c, s in zip(cands, scores, strict=True) if c[1] == j)
-            for i in range(n - 1, -1, -1):
-                back[i] = back[i + 1] + sum(sum(s) * back[c[1]] for c, s in zip(cands, scores, strict=True) if c[0] == i)
-            for c, s, k in zip(cands, scores, truth, strict=True):
-                out = ahead[c[0]] * back[c[1]] / ahead[n]
+            step = {p: math.exp(step_weight(weights, *p)) for p in pairs}
+            inside, steps, _ = _sums(n, cands, scores, step)
+            for c, p, k in zip(cands, inside, truth, strict=True):
                 for t, kind in enumerate(KINDS):
-                    pull = step * ((t == k) - out * s[t])
+                    pull = pace * ((t == k) - p[t])
                     if abs(pull) > 1e-6:
                         for f in c[4]:
-                            weights[kind, f] += pull - step * decay * weights[kind, f]
+                            weights[kind, f] += pull - pace * decay * weights[kind, f]
+            for a, b in pairs:
+                pull = pace * (seen.get((a, b), 0.0) - steps.get((a, b), 0.0))
+                if (a, b) != (OUT, OUT) and abs(pull) > 1e-6:
+                    weights[a, "then " + b] += pull - pace * decay * weights[a, "then " + b]
     return dict(weights)
 
 
-def find_spans(text: str, weights: Weights) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def find_spans(text: str, field: Field) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and the field's spans that touch none of them."""
     base = base_spans(text)
+    starts = [s for s, _, _ in base]
+    reach = [0]
+    for _, _, e in base:
+        reach.append(max(reach[-1], e))
     added = []
     for run in islands(text):
-        added += [x for x in decode(run, candidates(text, run), weights) if all(x[2] <= s or x[0] >= e for s, _, e in base)]
+        # Touching nothing: every base span that begins before its end has ended.
+        added += [x for x in field.decode(text, run) if reach[bisect_left(starts, x[2])] <= x[0]]
     return base, added
 
 
-def redact(text: str, weights: Weights) -> str:
+def redact(text: str, field: Field) -> str:
     """The text with every span, overlapping ones joined, replaced by its kind."""
-    base, added = find_spans(text, weights)
+    base, added = find_spans(text, field)
     out, at = [], 0
     for s, k, e in sorted(base + added):
         if s >= at:
@@ -318,10 +487,11 @@ def detect(docs: DataFrame, weights: Weights | None = None) -> DataFrame:
     weights = weights or fit()
 
     def start() -> Callable[[str], tuple]:
+        field = Field(weights)
         say = lambda spans: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
         def row(text: str) -> tuple:
-            base, added = find_spans(text, weights)
+            base, added = find_spans(text, field)
             counts = [sum(k == b for _, k, _ in base) for b in range(len(BASE))]
             return (*counts, hashlib.sha256(say(base).encode()).hexdigest(), say(sorted(base + added)))
 
@@ -339,7 +509,12 @@ def redact_documents(docs: DataFrame, weights: Weights | None = None) -> DataFra
     keep = tuple(c for c in docs.columns if c != "text")
     null = "__text_is_null"
     marked = docs.withColumn(null, F.col("text").isNull())
-    masked = map_texts(marked, lambda: lambda text: (redact(text, weights),), "text string", (*keep, null))
+
+    def start() -> Callable[[str], tuple]:
+        field = Field(weights)
+        return lambda text: (redact(text, field),)
+
+    masked = map_texts(marked, start, "text string", (*keep, null))
     masked = masked.withColumn("text", F.when(~F.col(null), F.col("text")))
     changed = {"n_chars": F.coalesce(F.length("text").cast("long"), F.col("n_chars"))} if "n_chars" in keep else {}
     return masked.withColumns(changed).select(*docs.columns)

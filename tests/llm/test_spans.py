@@ -1,9 +1,11 @@
 """PII, secrets and licenses against plain regexes and counts."""
 
 import hashlib
+import math
 import random
 import re
 import textwrap
+import time
 
 from anamnesis.llm import license_scan, pii, secret_scan
 from anamnesis.llm.dfa import self_check
@@ -29,29 +31,80 @@ def test_base_pii_is_the_patterns():
 
 
 def test_field_finds_held_out_entities():
-    weights = pii.fit()
+    field = pii.Field(pii.fit())
     hit = wrong = missed = 0
     for text, spans in pii.examples(400, 99):
-        got = {x for run in pii.islands(text) for x in pii.decode(run, pii.candidates(text, run), weights)}
+        got = {x for run in pii.islands(text) for x in field.decode(text, run)}
         hit, wrong, missed = hit + len(got & set(spans)), wrong + len(got - set(spans)), missed + len(set(spans) - got)
     assert hit / (hit + wrong) > 0.97 and hit / (hit + missed) > 0.93
 
 
-def test_field_decoding_is_the_best_segmentation():
+def every_segmentation(n, cands):
+    """All ways to cut an island, as lists of (candidate or None, kind)."""
+    if n == 0:
+        yield []
+        return
+    for way in every_segmentation(n - 1, cands):
+        yield [*way, (None, pii.OUT)]
+    for x, c in enumerate(cands):
+        if c[1] == n:
+            for way in every_segmentation(c[0], cands):
+                for kind in pii.KINDS:
+                    yield [*way, (x, kind)]
+
+
+def test_field_decoding_and_sums_are_over_all_segmentations():
     weights = pii.fit(count=120, rounds=3)
-    for text, _ in pii.examples(60, 5):
+    field = pii.Field(weights)
+    seen = 0
+    for text, _ in pii.examples(150, 5):
         for run in pii.islands(text):
             cands = pii.candidates(text, run)
+            if len(run) > 5 or len(cands) > 6:
+                continue
+            seen += 1
             scores = pii._scores(cands, weights)
 
-            def best(j, cands=cands, scores=scores):
-                if j == 0:
-                    return 0.0
-                return max([best(j - 1), *[best(c[0]) + max(s) for c, s in zip(cands, scores) if c[1] == j]])
-
-            got = pii.decode(run, cands, weights)
-            total = sum(max(s) for c, s in zip(cands, scores) if any((c[2], c[3]) == (a, b) for a, _, b in got))
-            assert abs(total - best(len(run))) < 1e-9
+            def value(way, scores=scores):
+                kinds = [pii.OUT, *[k for _, k in way], pii.OUT]
+                return sum(pii.step_weight(weights, a, b) for a, b in zip(kinds, kinds[1:])) + sum(scores[x][pii.KINDS.index(k)] for x, k in way if x is not None)
+
+            values = [(value(w), w) for w in every_segmentation(len(run), cands)]
+            top, way = max(values, key=lambda v: v[0])
+            got = field.decode(text, run)
+            assert got == [(cands[x][2], pii.KINDS.index(k), cands[x][3]) for x, k in way if x is not None]
+            step = {(a, b): math.exp(pii.step_weight(weights, a, b)) for a in (*pii.KINDS, pii.OUT) for b in (*pii.KINDS, pii.OUT)}
+            inside, steps, total = pii._sums(len(run), cands, [[math.exp(x) for x in row] for row in scores], step)
+            z = math.log(sum(math.exp(v) for v, _ in values))
+            assert abs(total - z) < 1e-6
+            for x in range(len(cands)):
+                share = sum(math.exp(v - z) for v, w in values if any(y == x for y, _ in w))
+                assert abs(sum(inside[x]) - share) < 1e-6
+            outs = sum(math.exp(v - z) * sum(a == b == pii.OUT for a, b in zip([pii.OUT, *[k for _, k in w]], [*[k for _, k in w], pii.OUT])) for v, w in values)
+            assert abs(steps[pii.OUT, pii.OUT] - outs) < 1e-6
+    assert seen > 30
+
+
+def test_pii_reads_spoken_addresses_and_long_runs():
+    field = pii.Field(pii.fit())
+    said = lambda t: [(pii.KINDS[k], t[s:e]) for s, k, e in pii.find_spans(t, field)[1]]
+    assert said("write to joe [at] site3.org now") == [("email", "joe [at] site3.org")]
+    assert said("joe.smith [at] example.com") == [("email", "joe.smith [at] example.com")]
+    assert said("joe (at) example (dot) org") == [("email", "joe (at) example (dot) org")]
+    assert said("he was (at) home in 1987\n(at)\n(dot)") == []
+    assert pii.base_spans("1" * 5000 + ".1.1.1") == [] and pii.base_spans("0" * 5000 + "255.1.1.1") == [(0, 1, 5009)]
+    for part in ("1", "a@", "1.", "12 ", "(at)", "x", "(at) ", "+1(", "joe@ex.org ", "call 555-123-4567 "):
+        began = time.perf_counter()
+        pii.find_spans(part * (200_000 // len(part)), field)
+        assert time.perf_counter() - began < 20, part
+
+
+def test_added_spans_touch_no_base_span():
+    field = pii.Field(pii.fit())
+    for text, _ in pii.examples(200, 11):
+        base, added = pii.find_spans(text, field)
+        every = [x for run in pii.islands(text) for x in field.decode(text, run)]
+        assert added == [x for x in every if all(x[2] <= s or x[0] >= e for s, _, e in base)]
 
 
 def test_pii_rows(odd, odd_rows, none):
