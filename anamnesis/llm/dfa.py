@@ -5,6 +5,10 @@ is parsed into a tree, turned into an epsilon automaton over bytes, made
 deterministic by subset construction and minimised by partition refinement.
 Tables are flat arrays: ``table[state + byte]`` with states in steps of 256,
 accepting states last.
+
+A combined automaton of several rules also has a reset letter a rule: the state
+in which all that the rule has read is forgotten and the other rules' progress
+stays. After a match, the reset makes the next one begin where it ended.
 """
 
 from __future__ import annotations
@@ -167,13 +171,15 @@ class _Nfa:
 class Dfa:
     """table: flat transitions in steps of 256; states at or over ``first`` accept
     the rules in ``accepts[state]``; ``start`` is where a scan begins; ``dead`` is
-    the state without return, or -1."""
+    the state without return, or -1; ``resets[rule][state // 256]`` is the state
+    that forgets a rule which ``state`` accepts."""
 
     table: list[int]
     start: int
     first: int
     accepts: dict[int, tuple[int, ...]]
     dead: int
+    resets: list[list[int]]
 
 
 def _minimise(trans: np.ndarray, marks: list[tuple[int, ...]]) -> np.ndarray:
@@ -190,8 +196,8 @@ def _minimise(trans: np.ndarray, marks: list[tuple[int, ...]]) -> np.ndarray:
         count = now
 
 
-def compile_rules(patterns: list[str], anchored: bool = False, mirrored: bool = False) -> Dfa:
-    """One automaton of all patterns.
+def compile_rules(patterns: list[str], anchored: bool = False, mirrored: bool = False, resets: bool = False) -> Dfa:
+    """One automaton of all patterns, with reset letters if asked for.
 
     Not anchored, it finds matches that begin anywhere: after each byte, an
     accepting state names the rules of which some match ends there.
@@ -199,6 +205,7 @@ def compile_rules(patterns: list[str], anchored: bool = False, mirrored: bool =
     nfa = _Nfa()
     root = nfa.node()
     ends: dict[int, int] = {}
+    own: list[tuple[int, int, frozenset]] = []
     for k, p in enumerate(patterns):
         tree = _Parser(p).parse()
         first = nfa.node()
@@ -207,6 +214,7 @@ def compile_rules(patterns: list[str], anchored: bool = False, mirrored: bool =
         last = nfa.node()
         nfa.free[end].append(last)
         ends[last] = k
+        own.append((first, last, nfa.closure({first})))
     # Bytes that no class tells apart share a column.
     signature = [tuple(i for i, s in enumerate(nfa.step) if s and b in s[0]) for b in range(256)]
     columns = {s: i for i, s in enumerate(dict.fromkeys(signature))}
@@ -223,6 +231,13 @@ def compile_rules(patterns: list[str], anchored: bool = False, mirrored: bool =
                 states[reached] = len(states)
                 todo.append(reached)
             row.append(states[reached])
+        for first, last, fresh in own if resets else ():
+            # Only where the rule accepts can a match of it have ended.
+            reached = frozenset(n for n in now if not first <= n <= last) | fresh if last in now else now
+            if reached not in states:
+                states[reached] = len(states)
+                todo.append(reached)
+            row.append(states[reached])
         rows.append(row)
     marks = [tuple(sorted(ends[n] for n in s if n in ends)) for s in states]
     trans = np.array(rows)
@@ -239,7 +254,11 @@ def compile_rules(patterns: list[str], anchored: bool = False, mirrored: bool =
             table[place[g] * 256 + b] = place[group[row[column_of[b]]]] * 256
     accepts = {place[g] * 256: marks[pick[g]] for g in order if marks[pick[g]]}
     dead = [s for s in range(0, count * 256, 256) if s not in accepts and all(table[s + b] == s for b in range(256))]
-    return Dfa(table, place[group[0]] * 256, (count - len(accepts)) * 256, accepts, dead[0] if dead and anchored else -1)
+    forget = [[0] * count for _ in (own if resets else ())]
+    for k, at in enumerate(forget):
+        for g in order:
+            at[place[g]] = place[group[trans[pick[g]][len(movers) + k]]] * 256
+    return Dfa(table, place[group[0]] * 256, (count - len(accepts)) * 256, accepts, dead[0] if dead and anchored else -1, forget)
 
 
 def longest(dfa: Dfa, data: bytes, at: int) -> int:

@@ -1,13 +1,17 @@
 """Secret scans by one combined deterministic automaton.
 
-All rules are compiled together (see ``dfa``) and a text's UTF-8 bytes are read
-once. Where the automaton accepts, the rule's mirrored automaton finds the
-leftmost start and its anchored automaton the end. Matches of a rule do not
-overlap; one that is too short uses up its characters and is dropped.
+All rules are compiled together (see ``dfa``) and a text's UTF-8 bytes are read in
+one pass. Where the automaton accepts, the rule's mirrored automaton finds the
+leftmost start and its anchored automaton the end; where the match ends, the
+rule's reset letter makes the pass forget what it has read of the rule, so that
+every acceptance is of a match that begins there or later. Looking back ends at
+the rule's last match, so that the time grows with the text alone. Matches of a
+rule do not overlap; one that is too short uses up its characters and is dropped.
 
 Defined cases: null or empty text has no spans; offsets are code points, end
-exclusive; repeated rows each give their row; an empty table gives none;
-columns other than the key and the text are not read.
+exclusive; texts of any length are read whole; spans that begin alike are in the
+order of the rules; repeated rows each give their row; an empty table gives none;
+columns other than the key and the text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -58,7 +62,7 @@ class Scanner:
 
     def __init__(self, rules: tuple[Rule, ...] = RULES) -> None:
         self.rules = rules
-        self.all = compile_rules([r.pattern for r in rules])
+        self.all = compile_rules([r.pattern for r in rules], resets=True)
         self.ahead: list[Dfa] = [compile_rules([r.pattern], anchored=True) for r in rules]
         self.back: list[Dfa] = [compile_rules([r.pattern], anchored=True, mirrored=True) for r in rules]
         self.lead: list[Dfa | None] = [compile_rules([r.lead], anchored=True) if r.lead else None for r in rules]
@@ -66,30 +70,29 @@ class Scanner:
     def scan(self, text: str) -> list[tuple[int, int, int]]:
         """(start, rule's number, end) in code points, in that order."""
         data = text.encode("utf-8", "surrogatepass")
-        trans, state, first = self.all.table, self.all.start, self.all.first
-        for b in data:
-            state = trans[state + b]
-            if state >= first:
-                break
-        else:
-            return []
-        taken, found = [0] * len(self.rules), []
-        state = self.all.start
-        for i, b in enumerate(data):
-            state = trans[state + b]
-            if state < first:
-                continue
-            for k in self.all.accepts[state]:
-                if i < taken[k]:
-                    continue
-                start = earliest(self.back[k], data, i + 1, taken[k])
-                if start < 0:
-                    continue
-                end = longest(self.ahead[k], data, start)
-                taken[k] = end
-                after = longest(self.lead[k], data, start) if self.lead[k] else start
-                if end - after >= self.rules[k].least:
-                    found.append((start, k, end))
+        trans, state, first, resets = self.all.table, self.all.start, self.all.first, self.all.resets
+        taken, found, due = [0] * len(self.rules), [], []
+        view, at, size = memoryview(data), 0, len(data)
+        while at < size:
+            # Up to the next end of a match, where a rule is forgotten.
+            stop = min([taken[k] for k in due], default=size)
+            i = at - 1
+            for i, b in enumerate(view[at:stop], at):
+                state = trans[state + b]
+                if state >= first and (new := [k for k in self.all.accepts[state] if i >= taken[k]]):
+                    for k in new:
+                        start = earliest(self.back[k], data, i + 1, taken[k])
+                        end = taken[k] = longest(self.ahead[k], data, start)
+                        after = longest(self.lead[k], data, start) if self.lead[k] else start
+                        if end - after >= self.rules[k].least:
+                            found.append((start, k, end))
+                        due.append(k)
+                    break
+            at = i + 1
+            for k in due:
+                if taken[k] == at:
+                    state = resets[k][state >> 8]
+            due = [k for k in due if taken[k] > at]
         if len(data) == len(text):
             return sorted(found)
         place, at, chars = {}, 0, 0

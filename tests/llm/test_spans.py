@@ -145,6 +145,23 @@ def test_secret_base_is_the_patterns(odd, odd_rows, none):
     assert {x.doc_id: (x.n_assign, x.n_access, x.n_hex) for x in rows}[9] == (1, 1, 1)
 
 
+def test_secret_scan_is_linear_and_begins_anew_after_a_match():
+    scanner = secret_scan.Scanner()
+    for part in ("token=xtoken:", "token=secret=password:", "AKIAtoken=AKIA", "eyJa.eyJ", "gh", "deadbeef", "-----BEGIN ", "token", "token="):
+        t = part + "a" * 100_000 + part * (100_000 // len(part))
+        began = time.perf_counter()
+        got = scanner.scan(t)
+        assert time.perf_counter() - began < 5, part
+        assert [x for x in got if x[1] < 3] == plain_secrets(t)
+    r = random.Random(4)
+    parts = ["token=", "xtoken:", "secret", "a" * 20, "AKIA", "B" * 20, ":", "=", "eyJ", ".", "_", "ghp_", "-----BEGIN ", "PRIVATE KEY-----", "xoxb-", " "]
+    rules = [re.compile(x.pattern) for x in secret_scan.RULES[3:]]
+    for _ in range(2000):
+        t = "".join(r.choice(parts) for _ in range(r.randint(0, 25)))
+        want = [(m.start(), k, m.end()) for k, rule in enumerate(rules, 3) for m in rule.finditer(t) if len(m[0]) >= secret_scan.RULES[k].least]
+        assert scanner.scan(t) == sorted(plain_secrets(t) + want)
+
+
 def test_automata_agree_with_regexes():
     samples = [bytes(random.Random(i).choice(b"abcxyz019-_. =") for _ in range(12)) for i in range(400)]
     assert self_check(["a*b|c+x?", "(?:ab|a)c{1,3}", "[^a-c]+[0-9]{2,}", "x(y|z)*0"], samples)
