@@ -13,9 +13,17 @@ blocks stay even if the site repeats them.
 A host's list of templates may be long: short ones are sent to every task once,
 long ones are joined by subtree, so that a page meets only what stands on it.
 
+What an element is by its class or id is asked of whole names: ``ad-box`` is an
+advert, ``share-price`` and ``has-sidebar`` are not, and nothing that holds an
+article or a main element is noise by its name.
+
 Defined cases: null or empty html gives empty text; a url without a host counts
 as host ''; unclosed and misplaced tags are repaired like a browser's in the
-common cases; repeated rows each give their row; an empty table gives none.
+common cases, and stray quotes belong to the tag; pages of any length and depth of
+nesting are read whole without recursion; pages of one host with one main text but
+different subtrees count by the least list of these; repeated rows each give their
+row; an empty table gives none; columns other than page_id, url and html are not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -43,87 +51,181 @@ BLOCK = PROSE | frozenset("html body div section article main header footer nav
 #: An open p ends where one of these begins.
 ENDS_P = BLOCK - frozenset("html body td th tr thead tbody tfoot caption".split())
 ITEMS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-_NOISE = re.compile(
-    r"(?i)(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo|banner|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|sidebar|side|widget|related|recommended|share|sharing|social"
-    r"|comments?|commentlist|replies|respond|disqus|nav|navbar|navigation|menu|breadcrumbs?|footer|header|masthead|toolbar|pagination|pager|login|signup)(?:$|[\s_-])"
+# Parts of class names that say what is no article, and parts that
+# only say where or what kind of box something is.
+NOISE = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice popup modal newsletter subscribe sidebar side aside widget related recommended share sharing social"
+    " comment comments commentlist replies reply respond disqus nav navbar navigation menu breadcrumb breadcrumbs footer header masthead toolbar pagination pager login signup".split()
+)
+BOXES = frozenset(
+    "area bar block box btn button buttons container content group inner item items left link links list main outer page panel post posts right row section site slot top bottom unit wrap wrapper form thread primary secondary global".split()
 )
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
+_OPEN = re.compile(r"</?([A-Za-z][^\s/>]*+)")
+# What may stand between a tag's name and its end; a quote only counts behind an equals sign.
+_INSIDE = re.compile(r"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|(?=>)))?+)*+>""")
+_ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+)|(?=>)))?+""")
+_HIDES = re.compile(r"(?i)display\s*:\s*none")
 _HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 
+def names_noise(names: str) -> bool:
+    """Whether a class or id says that the element is no article: some name has a part
+    that says so, and no part but such and kinds of boxes."""
+    for name in names.split():
+        parts = [x.lower() for x in _PARTS.findall(name)]
+        if not NOISE.isdisjoint(parts) and all(x in NOISE or x in BOXES or x.isdigit() for x in parts):
+            return True
+    return False
+
+
 class Element:
-    """A node: tag, whether it is noise by itself, or an article beside
-    the main ones by its class, and children (elements or text)."""
+    """A node: tag, whether it is hidden by tag or role, or by its class no article, or
+    an article beside the main ones, and children (elements or text)."""
 
-    __slots__ = ("beside", "children", "digest", "noise", "tag")
+    __slots__ = ("beside", "children", "digest", "hidden", "named", "tag")
 
     def __init__(self, tag: str, attributes: str = "") -> None:
         self.tag, self.children, self.digest = tag, [], 0
-        self.noise, self.beside = tag in HIDDEN, False
-        if attributes and not self.noise and "=" in attributes:
-            found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
-            named = _NOISE.search(f"{found.get('class', '')} {found.get('id', '')}")
-            self.beside = bool(tag == "article" and named)
-            self.noise = bool(tag not in ("html", "body", "article", "main") and named or found.get("role", "").lower() in _ROLES or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")))
-            self.noise |= bool(re.search(r"(?:^|\s)hidden(?:\s|$)", _ATTRIBUTE.sub("", attributes)))
-        elif attributes and re.search(r"(?:^|\s)hidden(?:\s|$)", attributes):
-            self.noise = True
+        self.hidden, self.named, self.beside = tag in HIDDEN, False, False
+        if attributes and not self.hidden:
+            found: dict[str, str] = {}
+            for m in _ATTRIBUTE.finditer(attributes):
+                found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+            named = names_noise(f"{found.get('class', '')} {found.get('id', '')}")
+            self.beside = tag == "article" and named
+            self.named = named and tag not in ("html", "body", "article", "main")
+            self.hidden = found.get("role", "").lower() in _ROLES or found.get("aria-hidden") == "true" or "hidden" in found or bool(_HIDES.search(found.get("style", "")))
+
+    @property
+    def noise(self) -> bool:
+        return self.hidden or self.named
+
+
+class _Open:
+    """The open elements, with the places of every tag's and of the blocks."""
+
+    def __init__(self, root: Element) -> None:
+        self.stack = [root]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, e: Element) -> None:
+        self.places.setdefault(e.tag, []).append(len(self.stack))
+        if e.tag in BLOCK and e.tag != "p":
+            self.blocks.append(len(self.stack))
+        self.stack.append(e)
+
+    def last(self, tags: tuple[str, ...]) -> int:
+        """Place of the innermost of some tags, or 0."""
+        return max([self.places[t][-1] for t in tags if self.places.get(t)], default=0)
+
+    def cut(self, place: int) -> None:
+        """Close everything from a place on."""
+        while len(self.stack) > place:
+            e = self.stack.pop()
+            self.places[e.tag].pop()
+            if self.blocks and self.blocks[-1] == len(self.stack):
+                self.blocks.pop()
+
+
+_HOLDERS = ("table", "article", "main", "body")
 
 
 def parse(page: str) -> Element:
-    """The tree of a page; unclosed elements end where browsers end them."""
+    """The tree of a page; unclosed elements end where browsers end them.
+
+    Time grows with the page: a tag is read once, and open elements are found by
+    their tag. A page whose last tag is cut off takes every tag from there on as
+    ending at its next angle bracket.
+    """
     root = Element("")
-    open_ = [root]
-    at, size = 0, len(page)
+    open_ = _Open(root)
+    at, size, strict = 0, len(page), True
+    most = page.rfind(">")
     while at < size:
-        m = _TOKEN.search(page, at)
-        if not m:
-            open_[-1].children.append(page[at:])
+        begin = page.find("<", at)
+        if begin < 0:
+            begin = size
+        if begin > at:
+            open_.stack[-1].children.append(page[at:begin])
+        if begin == size:
             break
-        if m.start() > at:
-            open_[-1].children.append(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        if page.startswith("<!--", begin):
+            short = 4 if page.startswith(">", begin + 4) else 5 if page.startswith("->", begin + 4) else 0
+            end = page.find("-->", begin + 4)
+            at = begin + short + 1 if short else size if end < 0 else end + 3
             continue
-        tag = m[2].lower()
-        if m[1]:
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].tag == tag:
-                    del open_[i:]
-                    break
-                if open_[i].tag in ("table", "article", "main", "body") and tag in PROSE:
-                    break
+        m = _OPEN.match(page, begin)
+        if not m:
+            # A declaration, or a bracket that begins nothing.
+            end = page.find(">", begin) if begin < most and page[begin + 1 : begin + 2] in ("!", "?", "/") else -1
+            if end < 0:
+                open_.stack[-1].children.append("<")
+                at = begin + 1
+            else:
+                at = end + 1
+            continue
+        if begin > most:
+            # Cut off within its last tag.
+            break
+        inside = _INSIDE.match(page, m.end()) if strict else None
+        if inside:
+            at = inside.end()
+        else:
+            strict = False
+            at = page.find(">", m.end()) + 1
+        tag, attributes = m[1].lower(), page[m.end() : at - 1]
+        if page[begin + 1] == "/":
+            place = open_.last((tag,))
+            if place and not (tag in PROSE and open_.last(_HOLDERS) > place):
+                open_.cut(place)
             continue
         if tag in ENDS_P or tag in ITEMS:
             ended = ITEMS.get(tag, ()) + (("p",) if tag in ENDS_P else ())
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].tag in ended:
-                    del open_[i:]
-                    break
-                if open_[i].tag in BLOCK and open_[i].tag != "p":
-                    break
-        element = Element(tag, m[3])
-        open_[-1].children.append(element)
+            place = open_.last(ended)
+            if place and place >= (open_.blocks[-1] if open_.blocks else 0):
+                open_.cut(place)
+        element = Element(tag, attributes)
+        open_.stack[-1].children.append(element)
         if tag in RAW:
-            end = re.compile(f"</{re.escape(tag)}[^>]*>", re.I).search(page, at)
+            end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(page, at)
             element.children.append(page[at : end.start() if end else size])
-            at = end.end() if end else size
-        elif tag not in VOID and not m[3].endswith("/"):
-            open_.append(element)
+            close = page.find(">", end.end()) if end else -1
+            at = size if close < 0 else close + 1
+        elif tag not in VOID and not attributes.endswith("/"):
+            open_.push(element)
+    _unname_holders(root)
     return root
 
 
-def _digest(element: Element) -> int:
+def _unname_holders(root: Element) -> None:
+    """What holds an article or a main element that can be seen is no noise by its name."""
+    order, parent = [root], {id(root): None}
+    for e in order:
+        for c in e.children:
+            if not isinstance(c, str) and not c.hidden:
+                parent[id(c)] = e
+                order.append(c)
+    for e in order:
+        if e.tag == "main" or e.tag == "article" and not e.beside:
+            up = parent[id(e)]
+            while up is not None and up.named:
+                up.named = False
+                up = parent[id(up)]
+
+
+def _digest(root: Element) -> int:
     """Hash of a subtree's tags and texts, white space aside; set on every element."""
-    parts = [element.tag]
-    for c in element.children:
-        parts.append(" ".join(c.split()) if isinstance(c, str) else f"<{_digest(c)}>")
-    element.digest = xxhash.xxh64_intdigest("\x00".join(parts)) - (1 << 63)
-    return element.digest
+    order = [root]
+    for e in order:
+        order += [c for c in e.children if not isinstance(c, str)]
+    for e in reversed(order):
+        parts = [e.tag, *[" ".join(c.split()) if isinstance(c, str) else f"<{c.digest}>" for c in e.children]]
+        e.digest = xxhash.xxh64_intdigest("\x00".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
+    return root.digest
 
 
 def main_elements(root: Element) -> list[Element]:
@@ -161,27 +263,29 @@ def blocks(root: Element, template: frozenset[int] = frozenset()) -> list[str]:
                 out.append(text)
             run.clear()
 
-    def walk(e: Element, in_prose: bool) -> None:
-        for c in e.children:
-            if isinstance(c, str):
+    for top in tops:
+        # Entries are (children to come, whether in prose, whether a block ends there).
+        todo = [(iter(top.children), False, False)]
+        while todo:
+            children, in_prose, ends = todo[-1]
+            c = next(children, None)
+            if c is None:
+                todo.pop()
+                if ends:
+                    end()
+            elif isinstance(c, str):
                 run.append(c)
+            elif c.noise or c.tag == "header" and not inside:
                 continue
-            if c.noise or c.tag == "header" and not inside:
-                continue
-            prose = in_prose or c.tag in PROSE
-            if template and c.digest in template and not (inside and prose):
-                continue
-            if c.tag == "br" or c.tag in VOID:
+            elif c.tag in VOID:
                 run.append(" ")
-            elif c.tag in BLOCK:
-                end()
-                walk(c, prose)
-                end()
             else:
-                walk(c, prose)
-
-    for top in tops:
-        walk(top, False)
+                prose = in_prose or c.tag in PROSE
+                if template and c.digest in template and not (inside and prose):
+                    continue
+                if c.tag in BLOCK:
+                    end()
+                todo.append((iter(c.children), prose, c.tag in BLOCK))
         end()
     return out
 
@@ -230,7 +334,7 @@ def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFram
     Pages of one host with the same main text count once, so that copies of an
     article are no template. Counts are summed before each shuffle.
     """
-    own = _page_marks(pages).groupBy("host", "main").agg(F.first("digests").alias("digests"))
+    own = _page_marks(pages).groupBy("host", "main").agg(F.min("digests").alias("digests"))
     marked = own.select("host", F.explode(F.concat("digests", F.array(F.lit(None).cast("long")))).alias("digest"))
     counts = marked.groupBy("host", "digest").agg(F.count("*").alias("n"))
     sizes = counts.filter("digest IS NULL").select("host", F.col("n").alias("pages"))
@@ -250,7 +354,7 @@ def _own_templates(own: DataFrame, templates: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1).cast(pa.string()), pa.array(digests, schema.field(2).type)], schema=schema)
 
     marks = own.select("__host", "__key", "html").mapInArrow(run, "__host string, __key string, digests array<long>")
-    single = marks.groupBy("__host", "__key").agg(F.first("digests").alias("digests")).select("__host", "__key", F.explode("digests").alias("digest"))
+    single = marks.groupBy("__host", "__key").agg(F.min("digests").alias("digests")).select("__host", "__key", F.explode("digests").alias("digest"))
     salted = single.withColumn("__salt", F.pmod(F.xxhash64("__key"), F.lit(SALTS)).cast("int"))
     each = templates.withColumnRenamed("host", "__host").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(each, ["__host", "digest", "__salt"]).groupBy("__host", "__key").agg(F.collect_list("digest").alias("template"))

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -240,3 +241,100 @@ def test_page_of_several_articles():
     page = PAGE.format("<p>List</p><article><p>One</p><article class='comment'><p>in</p></article></article><div><article id='b'><p>Two, longer</p></article></div><article class='related'><p>See this much longer other text</p></article>")
     assert html_text.blocks(html_text.parse(page)) == ["One", "in", "Two, longer"]
     assert html_text.blocks(html_text.parse(PAGE.format("<main><article><p>A</p></article><article><p>B</p></article></main>"))) == ["A", "B"]
+
+
+def body_text(html):
+    return "\n".join(html_text.blocks(html_text.parse(html)))
+
+
+def test_pages_of_odd_markup():
+    assert body_text('<p class="a"">Hello world</p>') == "Hello world"
+    assert body_text("<p title='a>b' x=\"<p>\">One</p><p =x>Two</p><a href=\"x>y</a>\" >Three") == "One\nTwo\nThree"
+    assert body_text('<div class="layout has-sidebar"><article><p>Text</p></article></div>') == "Text"
+    assert body_text('<div class="sidebar-right"><main><p>Text</p></main></div>') == "Text"
+    assert body_text('<p class="share-price">Up by 3</p><div class="share-buttons">Share</div><div id="cookieBanner">Ok</div>') == "Up by 3"
+    assert body_text("<p>1 < 2 <> </ 3 <!x> <?y?> &lt;b&gt;</p><!--> <p>kept</p> <!-- gone --><p>cut <b") == "1 < 2 <> <b>\nkept\ncut"
+    assert body_text("<script>var a = '<p>no</p>';</script x><p>yes</p><style>p{}") == "yes"
+
+
+def test_pages_long_and_deep():
+    assert body_text("<div>" * 10_000 + "deep" + "</div>" * 10_000 + "<p>after</p>") == "deep\nafter"
+    assert html_text.subtrees(html_text.parse("<div>" * 10_000 + "x"))
+    for part in ("<span>", "<div>x", '<a href="x>', "<a b='", "<!", "<!--", "</p>", "<p>", "<td><table>", "<li>", "<script", "<script>x</script", "<", "<a", "</", "&", "<b c=", "x"):
+        page = "<p>" + part * (400_000 // len(part)) + "</span></p>"
+        began = time.perf_counter()
+        html_text._digest(root := html_text.parse(page))
+        html_text.blocks(root)
+        assert time.perf_counter() - began < 10, part
+    for unclosed in ("</span>", "</td>", "</p>"):
+        began = time.perf_counter()
+        html_text.parse("<td><table>" + "<div>" * 20_000 + unclosed * 20_000)
+        assert time.perf_counter() - began < 5, unclosed
+
+
+def test_pages_equal_counting_every_subtree(spark):
+    """Pages drawn as trees: their html through the operator, their texts by plain counting."""
+    r = random.Random(9)
+    pool = [("div", [f"shared {i}"]) for i in range(6)] + [("ul", [("li", [f"menu {i}"]), ("li", ["more"])]) for i in range(4)]
+
+    def tree(depth):
+        kids = []
+        for _ in range(r.randint(1, 4)):
+            x = r.random()
+            if x < 0.3:
+                kids.append(r.choice(pool))
+            elif x < 0.6 or depth == 0:
+                kids.append((r.choice(["p", "div", "span", "b"]), [f"w{r.randint(0, 10**6)} &amp; <"]))
+            elif x < 0.7:
+                kids.append((r.choice(["nav", "footer", "script"]), ["gone"]))
+            else:
+                kids.append(("div" if r.random() < 0.7 else "section", tree(depth - 1)))
+        return kids
+
+    show = lambda n: n if isinstance(n, str) else f"<{n[0]}>{''.join(map(show, n[1]))}</{n[0]}>"
+    hidden, inline = ("nav", "footer", "script"), ("span", "b")
+
+    def inner(kids):
+        for k in kids:
+            if not isinstance(k, str) and k[0] not in hidden:
+                yield k
+                yield from inner(k[1])
+
+    def texts(kids, gone):
+        out, run = [], []
+
+        def end():
+            t = " ".join("".join(run).replace("&amp;", "&").split())
+            run.clear()
+            if t:
+                out.append(t)
+
+        def walk(kids):
+            for k in kids:
+                if isinstance(k, str):
+                    run.append(k)
+                elif k[0] not in hidden and show(k) not in gone:
+                    if k[0] not in inline:
+                        end()
+                    walk(k[1])
+                    if k[0] not in inline:
+                        end()
+
+        walk(kids)
+        end()
+        return "\n".join(out)
+
+    pages = [(i, f"http://h{r.choice('aab')}/x", tree(2)) for i in range(60)]
+    pages += [(100 + i, u, k) for i, (_, u, k) in enumerate(pages[:10])]
+    want = {}
+    for host in ("http://ha/x", "http://hb/x"):
+        own = [(i, k) for i, u, k in pages if u == host]
+        first = {}
+        for _, k in own:
+            first.setdefault(texts(k, set()), k)
+        counts = Counter(s for k in first.values() for s in {show(x) for x in inner(k)})
+        gone = {s for s, n in counts.items() if n >= max(5, np.log2(len(first))) and s[1 : s.index(">")] not in inline}
+        want |= {i: texts(k, gone) for i, k in own}
+    rows = [(i, u, "<html><body>" + "".join(map(show, k)) + "</body></html>") for i, u, k in pages]
+    got = {x.page_id: x.text for x in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
