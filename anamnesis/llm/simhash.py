@@ -5,7 +5,9 @@ at most four bits, some start on the ring has, for every length l, differences
 within l * 4 / 5 over the l segments from there: none in the first, one at most
 in the first two, and so on. Two segments that differ in one bit at most agree in
 one half of the second, so the join key is a start's segment with a half of the
-next: ten keys a fingerprint, of about 19 bits. The chains of two to four are
+next: ten keys a fingerprint, of about 19 bits. Over ``NARROW`` fingerprints the
+third segment, of at most two differences, joins the key with two of its quarters:
+sixty keys of about 26 bits, with the same pairs. The chains of two to four are
 tested on the joined pair, then the whole Hamming distance.
 
 Copies are grouped before anything is joined, fingerprints that differ within
@@ -13,14 +15,25 @@ one block of four bits are linked as stars (a group has at most 16 of them), and
 the join gives only pairs that those links have not joined yet, so that a large
 group of copies does not become all its pairs.
 
+Four bits are few for texts that are only four fifths alike. ``near_texts`` asks for
+a similarity of word shingles instead: the fingerprints' components are one source
+of candidates, bands of minimum hashes the other; in each bucket of either the
+texts are compared exactly with the one that meets most others and with the
+oldest, and those that are like neither again among themselves, as long as that
+finds links.
+
 Defined cases: null or empty text has fingerprint zero, linked like any other; a
-null id has a fingerprint and component null; repeated rows each give their row;
-an empty table gives none.
+null id has a fingerprint and component null, and its row stays in ``keep_one``;
+different texts under one id are linked only if they are alike; repeated rows each
+give their row, of which ``keep_one`` keeps one; of rows that differ elsewhere than
+in id and text the one of the least hash stays; texts of any length are read whole;
+an empty table gives none; other columns pass through whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import combinations
 
 import numpy as np
 import xxhash
@@ -33,26 +46,45 @@ from anamnesis.llm.components import connected
 SHINGLE, SEED, BITS, DISTANCE = 4, 42, 64, 4
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _BLOCK = 65_536
+#: Up to so many fingerprints the join takes the shorter keys.
+NARROW = 1 << 21
+#: What ``near_texts`` asks for: words of a shingle and least similarity.
+WORDS, ALIKE = 5, 0.8
+#: Bands of minimum hashes and hashes of a band: of texts four fifths alike all but
+#: one in two hundred pairs share a band.
+BANDS, ROWS = 10, 4
 
 
-def fingerprint(text: str, words: int = SHINGLE, seed: int = SEED) -> int:
-    """Unsigned 64 bits: each is set if it is in over half the shingles' hashes."""
-    parts = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
+def _words(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
+
+
+def shingles(parts: list[bytes], words: int, seed: int = SEED) -> np.ndarray:
+    """XXH64 of every shingle, repeats included; of all words if they are fewer."""
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(parts)
+    digest = xxhash.xxh64_intdigest
     if len(parts) <= words:
-        return xxhash.xxh64_intdigest(joined, seed)
+        return np.array([digest(joined, seed)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
     count = len(parts) - words + 1
     starts = [0, *ends[: count - 1].tolist()]
     stops = (ends[words - 1 :] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)], ">u8")
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)], np.uint64)
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """Unsigned 64 bits: each is set if it is in over half the hashes."""
     ones = np.zeros(BITS, np.int64)
-    for i in range(0, count, _BLOCK):
-        ones += np.unpackbits(hashes[i : i + _BLOCK].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > count).tobytes(), "big")
+    for i in range(0, len(hashes), _BLOCK):
+        ones += np.unpackbits(hashes[i : i + _BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: str, words: int = SHINGLE, seed: int = SEED) -> int:
+    """Unsigned 64 bits: each is set if it is in over half the shingles' hashes."""
+    return _majority(shingles(_words(text), words, seed))
 
 
 def _signed(x: int) -> int:
@@ -66,11 +98,21 @@ def _masks(distance: int) -> list[int]:
     return [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def _halves(mask: int) -> tuple[int, int]:
-    """The lower and upper bits of a segment's mask."""
+def _parts(mask: int, count: int) -> list[int]:
+    """The masks of a segment's parts of near equal size, from low to high."""
     places = [b for b in range(BITS) if mask >> b & 1]
-    low = sum(1 << b for b in places[: len(places) // 2])
-    return low, mask ^ low
+    cuts = [i * len(places) // count for i in range(count + 1)]
+    return [sum(1 << b for b in places[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
+
+
+def _ring_keys(ring: list[int], wide: bool) -> list[tuple[int, int]]:
+    """(start, mask): pairs within the ring's budgets agree in some start's mask."""
+    count, keys = len(ring), []
+    for i in range(count):
+        for half in _parts(ring[(i + 1) % count], 2):
+            thirds = [a | b for a, b in combinations(_parts(ring[(i + 2) % count], 4), 2)] if wide else [0]
+            keys += [(i, ring[i] | half | third) for third in thirds]
+    return keys
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
@@ -86,17 +128,17 @@ def _stars(nodes: DataFrame) -> DataFrame:
     """Edges among fingerprints that are equal outside one block of four bits."""
     blocks = [_signed((1 << 64) - 1 ^ (15 << i)) for i in range(0, BITS, 4)]
     keys = F.array(*[F.struct(F.lit(i).cast("byte").alias("block"), F.col("fp").bitwiseAND(F.lit(m)).alias("rest")) for i, m in enumerate(blocks)])
-    groups = nodes.select("id", F.explode(keys).alias("key")).groupBy("key").agg(F.collect_list("id").alias("ids")).filter(F.size("ids") > 1)
-    linked = groups.select(F.explode("ids").alias("hi"), F.array_min("ids").alias("lo"))
+    groups = nodes.select("fp", F.explode(keys).alias("key")).groupBy("key").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
+    linked = groups.select(F.explode("fps").alias("hi"), F.array_min("fps").alias("lo"))
     return linked.filter("hi > lo")
 
 
-def _ring_pairs(nodes: DataFrame, distance: int) -> DataFrame:
+def _ring_pairs(nodes: DataFrame, distance: int, wide: bool = False) -> DataFrame:
     """Edges between labels of fingerprints within the distance, not joined before."""
     ring = _masks(distance)
     count = len(ring)
     chain = [[_signed(sum(ring[(i + j) % count] for j in range(n))) for n in range(1, count + 1)] for i in range(count)]
-    keys = [(i, _signed(ring[i] | half)) for i in range(count) for half in _halves(ring[(i + 1) % count])]
+    keys = [(i, _signed(mask)) for i, mask in _ring_keys(ring, wide)]
     both = F.array(*[F.struct(F.lit(n).cast("byte").alias("key"), F.col("fp").bitwiseAND(F.lit(mask)).alias("part")) for n, (_, mask) in enumerate(keys)])
     left = nodes.select(F.explode(both).alias("k"), "fp", "label").select("k.*", "fp", "label")
     right = left.select(*[F.col(c).alias(f"b_{c}") for c in left.columns])
@@ -110,6 +152,15 @@ def _ring_pairs(nodes: DataFrame, distance: int) -> DataFrame:
     return left.join(right, on & near).select(F.greatest("label", "b_label").alias("hi"), F.least("label", "b_label").alias("lo"))
 
 
+def linked_prints(prints: DataFrame, distance: int = DISTANCE, narrow: int = NARROW) -> DataFrame:
+    """(fp, class) of distinct fingerprints: a class is the least one reachable."""
+    nodes = settle(prints.select("fp").distinct())
+    first = connected(_stars(nodes))
+    labelled = settle(nodes.join(first, nodes.fp == first.node, "left").select("fp", F.coalesce("component", "fp").alias("label")))
+    second = connected(_ring_pairs(labelled, distance, nodes.count() > narrow))
+    return labelled.join(second, labelled.label == second.node, "left").select("fp", F.coalesce("component", "label").alias("class"))
+
+
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """(doc_id, fp, component_id) of every row.
 
@@ -117,22 +168,97 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, distance: int = DISTA
     shuffle, and in a join on the fingerprint whose large keys Spark can split.
     """
     prints = settle(fingerprints(docs, words))
-    nodes = settle(prints.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("id")))
-    first = connected(_stars(nodes))
-    labelled = settle(nodes.join(first, nodes.id == first.node, "left").select("id", "fp", F.coalesce("component", "id").alias("label")))
-    second = connected(_ring_pairs(labelled, distance))
-    named = labelled.join(second, labelled.label == second.node, "left").select("fp", F.coalesce("component", "label").alias("component_id"))
+    ids = prints.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("id"))
+    classes = settle(ids.join(linked_prints(prints.filter("doc_id IS NOT NULL"), distance), "fp"))
+    named = classes.join(classes.groupBy("class").agg(F.min("id").alias("component_id")), "class").select("fp", "component_id")
     joined = prints.join(named, "fp", "left")
     return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, words: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """The document with the least id of each component; rows with a null id stay."""
-    kept = near_duplicates(docs, words, distance).filter("doc_id = component_id").select("doc_id").distinct()
-    rows = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*rows.columns)))
-    one = rows.withColumn("__nth", nth).filter("__nth = 1").drop("__nth")
-    return one.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+def _signature(words: int) -> Callable[[str], tuple]:
+    """A text's 128-bit key (words alone count), fingerprint and bands."""
+    draw = np.random.default_rng(SEED)
+    factor = draw.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    shift = draw.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+
+    def row(text: str) -> tuple:
+        parts = _words(text)
+        key = xxhash.xxh3_128_digest(b" ".join(parts))
+        hashes = shingles(parts, words)
+        if not len(hashes):
+            return key, 0, []
+        least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+        for i in range(0, len(hashes), 4096):
+            least = np.minimum(least, (hashes[i : i + 4096, None] * factor + shift).min(0))
+        raw = least.tobytes()
+        size = ROWS * 8
+        return key, _signed(_majority(hashes)), [_signed(xxhash.xxh64_intdigest(raw[i * size : (i + 1) * size], i)) for i in range(BANDS)]
+
+    return row
+
+
+def _alike(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The edges whose texts' shingle sets have at least the similarity."""
+    both = edges.join(sets.select(F.col("key").alias("hi"), F.col("set").alias("a")), "hi").join(sets.select(F.col("key").alias("lo"), F.col("set").alias("b")), "lo")
+    common = F.size(F.array_intersect("a", "b"))
+    return both.filter(common >= similarity * (F.size("a") + F.size("b") - common) - 1e-9).select("hi", "lo")
+
+
+def near_texts(docs: DataFrame, words: int = WORDS, similarity: float = ALIKE) -> tuple[DataFrame, DataFrame]:
+    """(rows, texts): (doc_id, h, key) of every row with an id, and (key, first, class)
+    of every different text, where first is the least (doc_id, h) and class the
+    least key that chains of sufficiently similar texts reach."""
+    hashed = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    rows = settle(map_texts(hashed, lambda: _signature(words), "key binary, fp long, bands array<long>", ("doc_id", "h")))
+    texts = settle(rows.groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.min("fp").alias("fp"), F.min("bands").alias("bands")))
+    simhashed = texts.join(linked_prints(texts), "fp").select("key", "first", F.concat("bands", F.array("class")).alias("bands"))
+    long = settle(simhashed.select("key", "first", F.posexplode("bands").alias("band", "value")))
+    met = long.groupBy("band", "value").agg(F.count("*").alias("n")).filter("n > 1")
+    members = long.join(met, ["band", "value"])
+    degree = members.groupBy("key").agg(F.sum("n").alias("degree"))
+    members = settle(members.drop("n").join(degree, "key"))
+    # Only texts that meet others are cut into shingles again.
+    wanted = members.select("first.doc_id", "first.h", "key").distinct()
+
+    def shingle_set() -> Callable[[str], tuple]:
+        return lambda text: (np.unique(shingles(_words(text), words)).view(np.int64).tolist(),)
+
+    # An id with a text may stand on several rows.
+    sets = map_texts(hashed.join(wanted, ["doc_id", "h"]), shingle_set, "set array<long>", ("key",))
+    sets = settle(sets.groupBy("key").agg(F.min("set").alias("set")))
+    found, left, classes = None, members, None
+    while True:
+        pivots = left.groupBy("band", "value").agg(F.count("*").alias("n"), F.max(F.struct("degree", "key")).alias("top"), F.min(F.struct("first", "key")).alias("oldest")).filter("n > 1")
+        met = left.join(pivots.select("band", "value", F.array_distinct(F.array("top.key", "oldest.key")).alias("pivots")), ["band", "value"])
+        pairs = met.select("key", F.explode("pivots").alias("pivot")).filter("key != pivot")
+        edges = pairs.select(F.greatest("key", "pivot").alias("hi"), F.least("key", "pivot").alias("lo")).distinct()
+        alike = settle(_alike(edges, sets, similarity))
+        if alike.isEmpty():
+            break
+        found = alike if found is None else found.unionByName(alike)
+        classes = settle(connected(found))
+        # Who is in a class with a pivot of the bucket has been linked; the others go on.
+        named = left.join(classes, left.key == classes.node, "left").select(left["*"], F.coalesce("component", "key").alias("class"))
+        tops = pivots.select("band", "value", F.explode(F.array_distinct(F.array("top.key", "oldest.key"))).alias("pivot"))
+        done = tops.join(classes, tops.pivot == classes.node, "left").select("band", "value", F.coalesce("component", "pivot").alias("class")).distinct()
+        left = settle(named.join(done, ["band", "value", "class"], "left_anti").select(*left.columns))
+    if classes is None:
+        return rows, texts.select("key", "first", F.col("key").alias("class"))
+    named = texts.join(classes, texts.key == classes.node, "left")
+    return rows, named.select("key", "first", F.coalesce("component", "key").alias("class"))
+
+
+def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = ALIKE) -> DataFrame:
+    """One row of each class of near texts, that with the least id; rows with a null id stay."""
+    rows, texts = near_texts(docs, words, similarity)
+    firsts = texts.groupBy("class").agg(F.min("first").alias("first")).select("first.doc_id", "first.h")
+    counted = settle(rows.groupBy("doc_id", "h").agg(F.count("*").alias("__n")).join(firsts, ["doc_id", "h"]).withColumnRenamed("h", "__h"))
+    kept = docs.withColumn("__h", F.xxhash64(F.coalesce("text", F.lit("")))).join(counted, ["doc_id", "__h"])
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    # Rows that repeat an id and its text meet in a minimum, summed before the shuffle.
+    again = kept.filter("__n > 1").groupBy("doc_id", "__h").agg(F.min_by(whole, F.xxhash64(*[F.col(c) for c in docs.columns])).alias("row"))
+    one = kept.filter("__n = 1").select(*docs.columns).unionByName(again.select("row.*"))
+    return one.unionByName(docs.filter("doc_id IS NULL"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
