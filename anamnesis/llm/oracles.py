@@ -5,11 +5,16 @@ from __future__ import annotations
 from anamnesis.llm import license_scan, quality
 
 _SPACE = r"[\x20\x09-\x0D]"
-_MEASURES = list(quality.MEASURES)
-_FIELDS = {"symbols": "n_symbols / chars", "marks": "n_marks / chars", "dup_lines": "n_dup_lines / greatest(n_lines, 1)", "repeats": "n_repeat_words / words", "word_size": "word_chars / words"}
-_LONG = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {m} AS x FROM m WHERE NOT base_failed" for m in _MEASURES)
-_SLACK = "CASE measure " + " ".join(f"WHEN '{m}' THEN {s}" for m, s in quality.MEASURES.items()) + " END"
-_WITHIN = " AND ".join(f"coalesce({m} <= (SELECT x.lim FROM chosen x WHERE x.lang = m.lang AND x.source = m.source AND x.measure = '{m}'), true)" for m in _MEASURES)
+_ALL = (*quality.MEASURES, *quality.SIZES)
+_FIELDS = {"symbols": "n_symbols / chars", "marks": "n_marks / chars", "dup_lines": "n_dup_lines / lines", "repeats": "n_repeat_words / words", "word_size": "word_chars / words"}
+_LONG = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {m} AS x FROM m WHERE NOT base_failed" for m in _ALL)
+_EVENT = {m: f"{float(n)}::DOUBLE / mid_{size}" for m, (size, n) in quality.RATES.items()} | {"word_size": f"mid_word_size * {quality.GROWTH - 1!r}::DOUBLE"}
+_MID = ", ".join(f"min(v) FILTER (measure = '{m}' AND upto >= 0.5 * total) AS mid_{m}" for m in _ALL)
+_HIGH = ", ".join(f"min(v) FILTER (measure = '{m}' AND upto >= {quality.TAIL} * total) AS high_{m}" for m in quality.MEASURES)
+_LIMITS = ", ".join([*[f"high_{m} + {quality.SPREADS}::DOUBLE * greatest(high_{m} - mid_{m}, {_EVENT[m]}) AS lim_{m}" for m in quality.MEASURES], *[f"mid_{m} AS lim_{m}" for m in quality.SIZES]])
+_PICK = ", ".join(f"CASE WHEN f.size >= {quality.LEAST_GROUP} THEN f.lim_{m} WHEN x.size >= {quality.LEAST_GROUP} THEN x.lim_{m} ELSE a.lim_{m} END AS lim_{m}" for m in _ALL)
+_ROOM = {m: f" * greatest(1.0::DOUBLE, lim_{quality.RATES[m][0]} / {quality.RATES[m][0]})" for m in quality.RATES}
+_WITHIN = " AND ".join(f"coalesce({m} <= lim_{m}{_ROOM.get(m, '')}, true)" for m in quality.MEASURES)
 
 QUALITY = f"""
 WITH w AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t,
@@ -21,17 +26,16 @@ c AS (SELECT doc_id, sum(least(8, nxt - i))::BIGINT AS rep FROM (SELECT doc_id,
 b AS (SELECT doc_id, lang, source, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
   (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (length(t) - length(replace(t, '!', '')))::DOUBLE AS n_marks,
   len(ls)::DOUBLE AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN c USING (doc_id)),
-b2 AS (SELECT *, greatest(word_chars, 1)::DOUBLE AS chars, greatest(n_words, 1)::DOUBLE AS words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed FROM b),
+b2 AS (SELECT *, greatest(word_chars, 1)::DOUBLE AS chars, greatest(n_words, 1)::DOUBLE AS words, greatest(n_lines, 1)::DOUBLE AS lines, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed FROM b),
 m AS (SELECT *, {", ".join(f"{e} AS {m}" for m, e in _FIELDS.items())} FROM b2),
 fine AS (SELECT lang, source, measure, CASE WHEN x > 1e-6 THEN ceil(ln(x) / ln({quality.GROWTH}))::INT ELSE -10000 END AS bucket, count(*) AS n FROM ({_LONG}) GROUP BY ALL),
 every AS (SELECT lang, source, measure, bucket, sum(n) AS n FROM fine GROUP BY GROUPING SETS ((lang, source, measure, bucket), (lang, measure, bucket), (measure, bucket))),
 r AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lang, source, measure) AS total,
   CASE WHEN bucket = -10000 THEN 0 ELSE pow({quality.GROWTH}, bucket - 0.5) END AS v FROM every),
-q AS (SELECT lang, source, measure, max(total) AS size, min(v) FILTER (upto >= 0.5 * total) AS q50, min(v) FILTER (upto >= 0.75 * total) AS q75 FROM r GROUP BY lang, source, measure),
-l AS (SELECT lang, source, measure, size, q50 + {quality.SPREADS} * (q75 - q50) + {_SLACK} AS lim FROM q),
-chosen AS (SELECT f.lang, f.source, f.measure, coalesce(CASE WHEN f.size >= {quality.LEAST_GROUP} THEN f.lim END, CASE WHEN x.size >= {quality.LEAST_GROUP} THEN x.lim END, a.lim) AS lim
-  FROM l f LEFT JOIN l x ON x.lang = f.lang AND x.source IS NULL AND x.measure = f.measure LEFT JOIN l a ON a.lang IS NULL AND a.measure = f.measure WHERE f.source IS NOT NULL)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_WITHIN} AS kept FROM m
+q AS (SELECT lang, source, max(total) AS size, {_MID}, {_HIGH} FROM r GROUP BY lang, source),
+l AS (SELECT lang, source, size, {_LIMITS} FROM q),
+chosen AS (SELECT f.lang, f.source, {_PICK} FROM l f LEFT JOIN l x ON x.lang = f.lang AND x.source IS NULL LEFT JOIN l a ON a.lang IS NULL WHERE f.source IS NOT NULL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_WITHIN} AS kept FROM m LEFT JOIN chosen USING (lang, source)
 """
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

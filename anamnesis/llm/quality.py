@@ -1,20 +1,25 @@
 """Quality rules with thresholds from mergeable quantile sketches.
 
-Every document's measures fall into buckets whose bounds grow by a fixed factor;
-the buckets' counts are a quantile sketch with bounded relative error, the same
-whatever the order of merging. Counts are merged per language and source, per
+Every document's measures and sizes fall into buckets whose bounds grow by a fixed
+factor; the buckets' counts are a quantile sketch with bounded relative error, the
+same whatever the order of merging. Counts are merged per language and source, per
 language, and over all; a group of under ``LEAST_GROUP`` documents takes the
-next wider group's thresholds. A measure fails if it lies over the median by
-more than ``SPREADS`` times the distance from median to upper quartile, plus the
-measure's slack. The verdicts come from a join of the documents' measures with
-the groups' thresholds, in which no source with a third of all rows meets in one
-task.
+next wider group's thresholds. A measure's limit is the group's upper quantile
+``TAIL`` and ``SPREADS`` times the tail's width: the distance from the median to that
+quantile, or where most documents have none of what is counted, so that both are
+zero, one event in a text of the group's median size. A document's rates count
+against its own size or the group's median size, whichever is more, as one event
+in a short text says little. No limit is a number fixed beforehand. The verdicts
+come from a join of the documents' measures with the groups' limits, in which no
+source with a third of all rows meets in one task.
 
 Only DataFrame functions run; the text itself is never shuffled.
 
 Defined cases: null or empty text has no words and fails the base rules; null
-language or source counts as its own group; repeated rows each give their row;
-an empty table gives none; other columns pass through ``kept_documents``.
+language or source counts as its own group; a value that equals its limit passes;
+texts of any length are read whole; repeated rows each give their row; an empty
+table gives none; other columns pass through ``kept_documents`` whatever their
+names.
 """
 
 from __future__ import annotations
@@ -30,10 +35,14 @@ WINDOW = 8
 GROWTH = 1.02
 SPREADS = 6.0
 LEAST_GROUP = 50
+TAIL = 0.9
 SALTS = 16
 MOST_BROADCAST = 20_000
-#: Measures and their slack over the median beyond the spread.
-MEASURES = {"symbols": 0.02, "marks": 0.02, "dup_lines": 0.4, "repeats": 0.3, "word_size": 2.0}
+SIZES = ("chars", "words", "lines")
+#: Rates, the size that each counts against, and how much one event counts: a
+#: window that is found again covers its words twice.
+RATES = {"symbols": ("chars", 1), "marks": ("chars", 1), "dup_lines": ("lines", 1), "repeats": ("words", 2 * WINDOW)}
+MEASURES = (*RATES, "word_size")
 _SPACE = r"[\x20\x09-\x0D]+"
 _SYMBOLS = "#*$%&|<>"
 
@@ -98,6 +107,7 @@ def measure(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
             (F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1))).alias("dup_lines"),
             (F.col("n_repeat_words") / words).alias("repeats"),
             (F.col("word_chars") / words).alias("word_size"),
+            *[c.cast("double").alias(n) for n, c in zip(SIZES, (chars, words, F.greatest("n_lines", F.lit(1))), strict=True)],
         ).alias("measures"),
     )
 
@@ -110,7 +120,7 @@ def sketches(measured: DataFrame) -> DataFrame:
     moves from each task.
     """
     bucket = lambda m: F.when(F.col("measures")[m] > 1e-6, F.ceil(F.log(F.col("measures")[m]) / F.log(F.lit(GROWTH))).cast("int")).otherwise(-10_000)
-    long = measured.filter(~F.col("base_failed")).select("lang", "source", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), bucket(m).alias("bucket")) for m in MEASURES])).alias("x"))
+    long = measured.filter(~F.col("base_failed")).select("lang", "source", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), bucket(m).alias("bucket")) for m in (*MEASURES, *SIZES)])).alias("x"))
     finest = long.groupBy("lang", "source", "x.measure", "x.bucket").agg(F.count("*").alias("n"))
     wider = finest.groupBy("lang", "measure", "bucket").agg(F.sum("n").alias("n"))
     widest = wider.groupBy("measure", "bucket").agg(F.sum("n").alias("n"))
@@ -118,17 +128,21 @@ def sketches(measured: DataFrame) -> DataFrame:
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """(lang, source, size, limits): a limit a measure, for every group."""
+    """(lang, source, size, limits): for every group a limit a measure and the median sizes."""
     group = ["lang", "source", "measure"]
     upto = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = sketch.withColumns({"upto": F.sum("n").over(upto), "total": F.sum("n").over(Window.partitionBy(*group))})
     value = F.when(F.col("bucket") == -10_000, 0.0).otherwise(F.pow(F.lit(GROWTH), F.col("bucket") - 0.5))
-    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total"), value))
-    quartiles = ranked.groupBy(*group).agg(F.max("total").alias("size"), at(0.5).alias("q50"), at(0.75).alias("q75"))
-    limit = F.col("q50") + SPREADS * (F.col("q75") - F.col("q50"))
-    slack = reduce(lambda c, m: c.when(F.col("measure") == m, MEASURES[m]), MEASURES, F)
-    limits = quartiles.withColumn("limit", limit + slack)
-    return limits.groupBy("lang", "source").agg(F.max("size").alias("size"), F.struct(*[F.max(F.when(F.col("measure") == m, F.col("limit"))).alias(m) for m in MEASURES]).alias("limits"))
+    at = lambda m, q: F.min(F.when((F.col("measure") == m) & (F.col("upto") >= q * F.col("total")), value))
+    quantiles = ranked.groupBy("lang", "source").agg(
+        F.max("total").alias("size"),
+        *[at(m, 0.5).alias(f"mid_{m}") for m in (*MEASURES, *SIZES)],
+        *[at(m, TAIL).alias(f"high_{m}") for m in MEASURES],
+    )
+    # Word size is never zero; its least width is the sketch's own error.
+    event = {m: F.lit(float(n)) / F.col(f"mid_{size}") for m, (size, n) in RATES.items()} | {"word_size": F.col("mid_word_size") * (GROWTH - 1)}
+    limit = lambda m: F.col(f"high_{m}") + SPREADS * F.greatest(F.col(f"high_{m}") - F.col(f"mid_{m}"), event[m])
+    return quantiles.select("lang", "source", "size", F.struct(*[limit(m).alias(m) for m in MEASURES], *[F.col(f"mid_{m}").alias(m) for m in SIZES]).alias("limits"))
 
 
 def group_limits(measured: DataFrame) -> DataFrame:
@@ -153,7 +167,9 @@ def judged(measured: DataFrame, limits: DataFrame) -> DataFrame:
     else:
         salted = limits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = measured.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int")).join(salted, ["lang", "source", "salt"], "left")
-    within = reduce(lambda a, b: a & b, [F.col("measures")[m] <= F.col("limits")[m] for m in MEASURES])
+    mine, most = F.col("measures"), F.col("limits")
+    room = lambda m: F.greatest(F.lit(1.0), most[RATES[m][0]] / mine[RATES[m][0]]) if m in RATES else F.lit(1.0)
+    within = reduce(lambda a, b: a & b, [mine[m] <= most[m] * room(m) for m in MEASURES])
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(True)))
 
 
@@ -166,15 +182,12 @@ def verdicts(docs: DataFrame) -> DataFrame:
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The documents whose verdict is kept, with all their columns.
 
-    The measures are taken twice, once for the sketches and once for the verdict,
-    so that no text is shuffled or stored.
+    The measures are taken once: the rows that pass the base rules are stored with
+    them while the groups' limits are found.
     """
-    limits = group_limits(settle(measure(docs)))
-    whole = docs.select("doc_id", "text", "lang", "source", F.struct("*").alias("row"))
-    # A filter is not pushed below a random column, where it would take the
-    # measures once more for every condition.
-    measured = measure(whole, ("row",)).withColumn("stop", F.rand(0))
-    return judged(measured, limits).filter("kept AND stop >= 0").select("row.*")
+    whole = docs.select("doc_id", "text", "lang", "source", F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    measured = settle(measure(whole, ("row",)).filter("NOT base_failed"))
+    return judged(measured, group_limits(measured.drop("row"))).filter("kept").select("row.*")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,12 +48,34 @@ def test_quality_thresholds_follow_the_group(spark):
     assert all(kept[i] == (i % 10 != 0) for i in range(100)) and all(kept[1000 + i] for i in range(100))
 
 
-def test_quality_sketch_error_is_bounded(spark):
+def test_quality_limits_are_sketched_quantiles(spark):
     values = [random.Random(i).lognormvariate(0, 1) for i in range(2000)]
-    df = spark.createDataFrame([("en", "a", False, (v, v, v, v, v)) for v in values], "lang string, source string, base_failed boolean, measures struct<symbols:double,marks:double,dup_lines:double,repeats:double,word_size:double>")
+    row = lambda v: (v if v > 1 else 0.0, 0.0, 0.0, 0.0, v, 100 * v, 10 * v, v)
+    names = (*quality.MEASURES, *quality.SIZES)
+    df = spark.createDataFrame([("en", "a", False, row(v)) for v in values], "lang string, source string, base_failed boolean, measures struct<" + ",".join(f"{n}:double" for n in names) + ">")
     limits = quality.thresholds(quality.sketches(df)).filter("source IS NOT NULL").first().limits
-    q50, q75 = np.quantile(values, 0.5), np.quantile(values, 0.75)
-    assert abs(limits.word_size - (q50 + 6 * (q75 - q50) + 2.0)) < 0.03 * limits.word_size * 6
+    at = lambda x, q: np.quantile(x, q, method="inverted_cdf")
+    q50, q90 = at(values, 0.5), at(values, 0.9)
+    near = lambda a, b: abs(a - b) < 0.08 * b
+    assert near(limits.word_size, q90 + 6 * (q90 - q50))
+    plain = [row(v)[0] for v in values]
+    assert near(limits.symbols, at(plain, 0.9) + 6 * (at(plain, 0.9) - at(plain, 0.5)))
+    # Where most have none, an event in a text of median size is the width.
+    assert near(limits.marks, 6 / (100 * q50)) and near(limits.dup_lines, 6 / q50) and near(limits.repeats, 6 * 16 / (10 * q50))
+
+
+def test_quality_limits_of_zero_inflated_groups_follow_their_sizes(spark):
+    r = random.Random(2)
+    plain = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    rows = [(i, plain(40) + " #" * (i % 20 == 0) * 3, "en", "short") for i in range(200)]
+    rows += [(1000 + i, plain(800) + " #" * (i % 20 == 0) * 40, "en", "long") for i in range(200)]
+    rows += [(2000, plain(40) + " #" * 8, "en", "short"), (2001, plain(40) + " #", "en", "long"), (2002, plain(800) + " #" * 3, "en", "long"), (2003, plain(40) + " #" * 8, "en", "long")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    limits = {x.source: x.limits for x in quality.thresholds(quality.sketches(quality.measure(df))).filter("source IS NOT NULL").collect()}
+    assert 15 < limits["short"].symbols / limits["long"].symbols < 25
+    kept = {x.doc_id: x.kept for x in quality.verdicts(df).collect()}
+    assert all(kept[i] for i in range(200)) and not any(kept[1000 + i] for i in range(0, 200, 20))
+    assert not kept[2000] and kept[2001] and kept[2002] and not kept[2003]
 
 
 def test_mixing_meets_targets(spark, none):
@@ -77,11 +99,18 @@ def test_mixing_meets_targets(spark, none):
     assert len(got) == 600 and (got.rate >= 0).all()
     total = {d: float((got.tokens * got[f"p_{d}"] * got.rate).sum()) for d in mixing.DOMAINS}
     expected = float((got.tokens * got.p_good).sum())
-    assert abs(total["good"] - expected) < 0.02 * expected
-    assert total["toxic"] < 0.05 * expected
+    assert m.residual() < 0.02 and (got.residual == round(m.residual(), 6)).all()
+    for d in mixing.DOMAINS:
+        want = expected * mixing.WEIGHTS[d] / mixing.WEIGHTS["good"]
+        assert abs(total[d] - want) < 0.02 * expected and abs(m.totals[d][0] - want) < 0.01 * expected
+    # Posteriors of held-out documents, by kind.
+    kinds = {0: "p_good", 4: "p_low", 5: "p_toxic"}
+    for k, name in kinds.items():
+        assert got[got.doc_id % 6 == k][name].mean() > 0.8
     kept = {x.doc_id for x in m.mixed_documents(docs).collect()}
+    assert kept == {x.doc_id for x in mixing.mix_documents(docs, marks).collect()}
     clean = {i for i in range(600) if i % 6 < 4}
-    assert len(kept & clean) > 0.97 * len(clean) and len(kept - clean) < 40
+    assert len(kept & clean) > 0.85 * len(clean) and len(kept - clean) < 120
     empty = mixing.Mixture(none, marks.limit(0))
     assert empty.rates().count() == 0 and empty.mixed_documents(none).columns == none.columns
 
@@ -93,8 +122,8 @@ def test_mixed_tokens_are_one_part_of_the_fitted_totals(spark):
     m = mixing.Mixture(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     p = F.when(F.col("doc_id") % 2 == 0, F.array(*map(F.lit, (0.8, 0.2, 0.0)))).otherwise(F.array(*map(F.lit, (0.3, 0.7, 0.0))))
     m.members = m.members.withColumn("p", p)
-    m.classifier.posteriors = lambda feats: F.when(F.array_contains(feats, "zebra"), F.array(*map(F.lit, (0.8, 0.2, 0.0)))).otherwise(F.array(*map(F.lit, (0.3, 0.7, 0.0))))
-    m.pulls = mixing.fit_rates(m.members, {"good": 0.75, "low": 0.25, "toxic": 0.0})
+    m.classifier.posteriors = lambda feats: F.when(F.array_contains(feats, F.pmod(F.xxhash64(F.lit("zebra")), F.lit(mixing.BUCKETS)).cast("int")), F.array(*map(F.lit, (0.8, 0.2, 0.0)))).otherwise(F.array(*map(F.lit, (0.3, 0.7, 0.0))))
+    m.pulls, _ = mixing.fit_rates(m.members, {"good": 0.75, "low": 0.25, "toxic": 0.0})
     rates = m.rates().toPandas()
     most = rates.rate.max()
     assert most > 1.15 and abs(m.part() - 1 / most) < 1e-5
@@ -105,6 +134,42 @@ def test_mixed_tokens_are_one_part_of_the_fitted_totals(spark):
         assert abs(got - fitted * m.part()) < 0.03 * fitted
 
 
+def nonnegative_least_squares(a, b):
+    """Lawson and Hanson's active sets."""
+    x, free = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
+    while True:
+        pull = a.T @ (b - a @ x)
+        if free.all() or pull[~free].max() < 1e-9:
+            return x
+        free[np.argmax(np.where(free, -np.inf, pull))] = True
+        while True:
+            z = np.zeros_like(x)
+            z[free] = np.linalg.lstsq(a[:, free], b, rcond=None)[0]
+            if z[free].min() > 0:
+                x = z
+                break
+            cut = free & (z <= 0)
+            x = x + (x[cut] / (x[cut] - z[cut])).min() * (z - x)
+            free &= x > 1e-12
+
+
+@pytest.mark.parametrize("weights", [{"good": 0.8, "low": 0.15, "toxic": 0.05}, {"good": 0.5, "low": 0.5, "toxic": 0.0}])
+def test_mixing_rates_are_least_squares(spark, weights):
+    r = np.random.default_rng(3)
+    p = r.dirichlet([4, 1, 0.5], 400)
+    tokens = r.integers(1, 900, 400)
+    members = spark.createDataFrame([(i, int(t), [float(x) for x in q]) for i, (t, q) in enumerate(zip(tokens, p))], "doc_id long, tokens long, p array<double>")
+    pulls, totals = mixing.fit_rates(members, weights)
+    rate = np.array([x.rate for x in members.select("doc_id", mixing._rate(F.col("p"), pulls).alias("rate")).orderBy("doc_id").collect()])
+    a = (p * tokens[:, None]).T
+    target, reached = (np.array([totals[d][i] for d in mixing.DOMAINS]) for i in (0, 1))
+    assert (rate >= 0).all() and np.allclose(a @ rate, reached, rtol=1e-6)
+    root = np.linalg.cholesky(np.linalg.inv((p * tokens[:, None]).T @ p / tokens.sum())).T
+    best = nonnegative_least_squares(root @ a / tokens.sum(), root @ target / tokens.sum())
+    worth = lambda x: float(np.square(root @ (a @ x - target) / tokens.sum()).sum())
+    assert worth(rate) <= worth(best) * 1.05 + 1e-6
+
+
 def test_mixing_handles_odd_rows(spark, odd, odd_rows):
     m = mixing.Mixture(odd, spark.createDataFrame([(3, 1, 0), (None, 1, 0), (8, None, None)], "doc_id long, quality int, toxic int"))
     assert m.rates().count() == len(odd_rows) and m.mixed_documents(odd).columns == odd.columns
