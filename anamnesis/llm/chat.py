@@ -1,23 +1,29 @@
 """Chat formatting in budgeted windows.
 
-Prefix sums of the turns' tokens place every turn: those that lie wholly in the
-w-th stride of a conversation form one window, a turn over a stride's end is a
-window by itself. No window's new turns exceed the stride unless one turn alone
-does. Each window begins with the conversation's system turn, then up to two
-turns before it as history; only assistant turns that are new to the window are
-under its loss mask, so each is learned once.
+A conversation is dealt into blocks of 256 turn numbers, so that one with a third of
+all rows lies in many tasks. Within a block, prefix sums of the turns' tokens place
+every turn: those that lie wholly in the w-th stride form one window, a turn over
+a stride's end is a window by itself. Each window begins with the conversation's
+system turn, then up to two turns before it as history, also from the block before;
+only assistant turns that are new to the window are under its loss mask, so each
+is learned once.
 
-Sums run within blocks of 256 turn numbers first, then over the blocks' totals,
-so a conversation with a third of all rows is dealt over many tasks.
+A window holds at most its budget of tokens, with two exceptions that its row shows
+as ``over_budget``: a turn that alone is longer than a stride, and the window in
+which a system turn over half the budget stands; such a system turn is not repeated.
+
+The texts are shuffled once, by conversation and block, and what the windows are
+made of stays in those partitions; only the blocks' ends and totals move between.
 
 Turns are ``<|im_start|>role``, a line end, the text, ``<|im_end|>`` and a line
 end. Inside texts and roles a backslash becomes ``\\-`` and ``<|`` becomes
 ``<\\+`` (a line end in a role ``\\/``), so no text can end its turn.
 
-Defined cases: null text or role is empty; null turn numbers come first; equal
-turn numbers are ordered by role and text; repeated rows are turns of their own;
-an empty table gives none; other columns are not read. Only DataFrame functions
-run.
+Defined cases: null text or role is empty; null conversation ids are one
+conversation; null turn numbers come first; equal turn numbers are ordered by role
+and text; repeated rows are turns of their own; texts of any length are kept whole;
+an empty table gives none; other columns are not read, whatever their names. Only
+DataFrame functions run.
 """
 
 from __future__ import annotations
@@ -54,64 +60,65 @@ def token_estimate(text: Column) -> Column:
 
 
 def placed_turns(conversations: DataFrame) -> DataFrame:
-    """Every turn with its place and token sum in the conversation, the up to two
+    """Every turn with its place, and its token sum within its block, the up to two
     turns before it, and the conversation's system turn."""
     turn = F.struct("role", "text", "tokens")
-    rows = conversations.select("conv_id", F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    # A struct of an id is equal to itself even if the id is null.
+    rows = conversations.select(F.struct("conv_id").alias("conv"), F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumns({"tokens": token_estimate(F.col("text")), "block": F.floor(F.coalesce("turn", F.lit(-(1 << 40))) / BLOCK)})
-    own = Window.partitionBy("conv_id", "block").orderBy(F.asc_nulls_first("turn"), "role", "text")
-    before = own.rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("conv", "block").orderBy(F.asc_nulls_first("turn"), "role", "text")
     local = rows.withColumns({
         "nth": F.row_number().over(own) - 1,
-        "sum": F.coalesce(F.sum("tokens").over(before), F.lit(0)),
+        "sum": F.coalesce(F.sum("tokens").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
         "near": F.filter(F.array(F.lag(turn, 2).over(own), F.lag(turn, 1).over(own)), lambda x: x.isNotNull()),
-        "size": F.count("*").over(Window.partitionBy("conv_id", "block")),
+        "size": F.count("*").over(Window.partitionBy("conv", "block")),
     })
     last = F.when(F.col("nth") >= F.col("size") - 2, F.struct("nth", turn.alias("turn")))
-    head = F.when(F.col("nth") == 0, turn)
-    blocks = local.groupBy("conv_id", "block").agg(F.sum("tokens").alias("total"), F.count("*").alias("count"), F.transform(F.sort_array(F.collect_list(last)), lambda x: x["turn"]).alias("last"), F.first(head, ignorenulls=True).alias("head"))
-    order = Window.partitionBy("conv_id").orderBy("block")
+    head = F.when((F.col("nth") == 0) & (F.col("role") == "system"), turn)
+    blocks = local.groupBy("conv", "block").agg(F.count("*").alias("count"), F.transform(F.sort_array(F.collect_list(last)), lambda x: x["turn"]).alias("last"), F.first(head, ignorenulls=True).alias("head"))
+    order = Window.partitionBy("conv").orderBy("block")
     none = F.lit(None).cast(blocks.schema["last"].dataType)
     empty = F.filter(F.col("last"), lambda x: F.lit(False))
     carried = F.concat(F.coalesce(F.lag("last", 2).over(order), none, empty), F.coalesce(F.lag("last", 1).over(order), none, empty))
-    first = F.first("head").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     offsets = blocks.select(
-        "conv_id", "block", carried.alias("carried"), F.when(first["role"] == "system", first).alias("system"),
-        F.coalesce(F.sum("total").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("sum_before"),
+        "conv", "block", carried.alias("carried"), F.first("head").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("system"),
         F.coalesce(F.sum("count").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("count_before"),
     )
-    keys = [local[c].eqNullSafe(offsets[c]) for c in ("conv_id", "block")]
-    both = local.join(offsets, keys).select(local["*"], "carried", "system", "sum_before", "count_before")
     known = F.concat("carried", "near")
-    return both.select(
-        "conv_id", (F.col("count_before") + F.col("nth")).alias("rank"), (F.col("sum_before") + F.col("sum")).alias("before"), "role", "text", "tokens", "system",
+    return local.join(offsets, ["conv", "block"]).select(
+        "conv", "block", (F.col("count_before") == 0).alias("first_block"), (F.col("count_before") + F.col("nth")).alias("rank"), F.col("sum").alias("before"), "role", "text", "tokens", "system",
         F.slice(known, F.greatest(F.size(known) - 1, F.lit(1)), F.lit(2)).alias("history"),
     )
 
 
 def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """A row a window: conv_id, window, formatted, loss spans (code points, end
-    exclusive), and how many of its turns at the front are repeated."""
+    """A row a window: conv_id, window (block and place), formatted, loss spans (code
+    points, end exclusive), how many of its turns at the front are repeated, its
+    tokens and whether they are over the budget."""
     turns = placed_turns(conversations)
-    system_tokens = F.coalesce(F.col("system")["tokens"], F.lit(0))
-    is_system = F.col("system").isNotNull() & (F.col("rank") == 0)
-    stride = F.greatest(F.lit(budget - history) - system_tokens, F.lit(1))
-    begin = F.col("before") - system_tokens
+    has_system = F.col("system").isNotNull()
+    is_system = has_system & (F.col("rank") == 0)
+    # A long system turn is not repeated and has a window of its own.
+    held = F.when(F.col("system")["tokens"] <= budget // 2, F.col("system"))
+    own = F.coalesce(F.col("system")["tokens"], F.lit(0))
+    stride = F.greatest(F.lit(budget - history) - F.coalesce(held["tokens"], F.lit(0)), F.lit(1))
+    begin = F.col("before") - F.when(F.col("first_block"), own).otherwise(0)
     low = F.floor(begin / stride)
     high = F.floor((begin + F.col("tokens") - 1) / stride)
-    slot = F.when(is_system, 0).otherwise(2 * low + F.when(low == high, 0).otherwise(1))
-    past = F.slice("history", F.greatest(F.size("history") - F.col("rank") + F.when(F.col("system").isNotNull(), 2).otherwise(1), F.lit(1)), F.lit(2))
-    past = F.when((F.col("rank") > 1) | F.col("system").isNull(), past).otherwise(F.filter("history", lambda x: F.lit(False)))
+    slot = F.when(is_system, F.when(held.isNull(), -1).otherwise(0)).otherwise(2 * low + F.when(low == high, 0).otherwise(1)).cast("long")
+    count = F.least(F.lit(2), F.size("history"), F.col("rank") - has_system.cast("int")).cast("int")
+    past = F.slice("history", F.size("history") - F.greatest(count, F.lit(0)) + 1, F.greatest(count, F.lit(0)))
     nearest = F.filter(F.slice(past, F.greatest(F.size(past), F.lit(1)), F.lit(1)), lambda x: x["tokens"] <= history)
     both = F.aggregate(past, F.lit(0).cast("long"), lambda a, x: a + x["tokens"])
     repeated = F.when(both <= history, past).otherwise(nearest)
-    seg = lambda role, text, new: F.struct(escape(role).alias("role"), escape(text).alias("text"), new.alias("new"), (new & (role == "assistant")).alias("loss"))
-    placed = turns.select("conv_id", slot.alias("window"), "rank", is_system.alias("is_system"), "system", repeated.alias("repeated"), seg(F.col("role"), F.col("text"), F.lit(True)).alias("seg"))
-    grouped = placed.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list(F.struct("rank", "seg"))).alias("own"), F.min_by("repeated", "rank").alias("repeated"), F.min_by("system", "rank").alias("system"), F.max("is_system").alias("holds_system"))
-    nothing = F.filter(F.transform("repeated", lambda x: seg(x["role"], x["text"], F.lit(False))), lambda x: F.lit(False))
-    lead = F.when(F.col("system").isNotNull() & ~F.col("holds_system"), F.array(seg(F.col("system")["role"], F.col("system")["text"], F.lit(False)))).otherwise(nothing)
-    past = F.when(F.col("holds_system"), nothing).otherwise(F.transform("repeated", lambda x: seg(x["role"], x["text"], F.lit(False))))
-    segs = grouped.select("conv_id", "window", F.concat(lead, past, F.transform("own", lambda x: x["seg"])).alias("segs"))
+    seg = lambda role, text, tokens, new: F.struct(escape(role).alias("role"), escape(text).alias("text"), tokens.alias("tokens"), new.alias("new"), (new & (role == "assistant")).alias("loss"))
+    old = lambda x: seg(x["role"], x["text"], x["tokens"], F.lit(False))
+    placed = turns.select("conv", "block", slot.alias("slot"), "rank", is_system.alias("is_system"), held.alias("system"), repeated.alias("repeated"), seg(F.col("role"), F.col("text"), F.col("tokens"), F.lit(True)).alias("seg"))
+    grouped = placed.groupBy("conv", "block", "slot").agg(F.sort_array(F.collect_list(F.struct("rank", "seg"))).alias("own"), F.min_by("repeated", "rank").alias("repeated"), F.min_by("system", "rank").alias("system"), F.max("is_system").alias("holds_system"))
+    nothing = F.filter(F.transform("repeated", old), lambda x: F.lit(False))
+    lead = F.when(F.col("system").isNotNull() & ~F.col("holds_system"), F.array(old(F.col("system")))).otherwise(nothing)
+    past = F.when(F.col("holds_system"), nothing).otherwise(F.transform("repeated", old))
+    segs = grouped.select(F.col("conv.conv_id").alias("conv_id"), F.struct("block", F.col("slot")).alias("window"), F.concat(lead, past, F.transform("own", lambda x: x["seg"])).alias("segs"))
     role = lambda x: F.replace(x["role"], F.lit("\n"), F.lit("\\/"))
     spoken = lambda x: F.concat(F.lit(_START), role(x), F.lit("\n"), x["text"], F.lit(_END))
     empty = F.transform(F.sequence(F.lit(1), F.lit(1)), lambda _: F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end")))
@@ -126,7 +133,11 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
             )))).otherwise(acc["spans"]).alias("spans"),
         ),
     )
-    return segs.select("conv_id", "window", F.array_join(F.transform("segs", spoken), "").alias("formatted"), spans["spans"].alias("loss"), F.size(F.filter("segs", lambda x: ~x["new"])).alias("n_repeated"))
+    tokens = F.aggregate("segs", F.lit(0).cast("long"), lambda a, x: a + x["tokens"])
+    return segs.select(
+        "conv_id", "window", F.array_join(F.transform("segs", spoken), "").alias("formatted"), spans["spans"].alias("loss"),
+        F.size(F.filter("segs", lambda x: ~x["new"])).alias("n_repeated"), tokens.alias("tokens"), (tokens > budget).alias("over_budget"),
+    )
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

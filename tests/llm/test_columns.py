@@ -210,10 +210,39 @@ def test_chat_windows_keep_budget_and_system(spark):
         assert x.formatted.startswith("<|im_start|>system\nturn 0 ")
         turns = x.formatted.split("<|im_end|>\n")[:-1]
         assert sum(-(-(len(t) - t.index("\n") - 1) // 4) + 4 for t in turns) <= 256
+        assert x.tokens <= 256 and not x.over_budget
         for s in x.loss:
             assert re.match(r"turn \d+ x+$", x.formatted[s.start : s.end])
 
 
+def test_chat_budget_holds_but_where_declared(spark):
+    r = random.Random(5)
+    rows = []
+    for c in range(40):
+        for i in range(r.choice([2, 9, 30, 300])):
+            role = "system" if i == 0 and c % 2 else "user" if i % 2 else "assistant"
+            size = r.choice([2000, 900, 100]) if role == "system" else 6000 if r.random() < 0.03 else r.randint(0, 500)
+            rows.append((c, i, role, f"{c} {i} " + "y" * size))
+    rows += [(None, i, "user" if i % 2 else "assistant", f"n {i}") for i in range(5)] + [(99, 0, "assistant", "z" * 200_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    cost = lambda t: -(-len(t) // 4) + 4
+    system = {c: t for c, i, role, t in rows if i == 0 and role == "system"}
+    seen = Counter()
+    for x in chat.windows(df, 512, 96).collect():
+        turns = [t[len("<|im_start|>") :].split("\n", 1) for t in x.formatted.split("<|im_end|>\n")[:-1]]
+        assert x.tokens == sum(cost(t) for _, t in turns) and x.over_budget == (x.tokens > 512)
+        new = turns[x.n_repeated :]
+        if x.over_budget:
+            # One turn alone, over the stride or the system turn.
+            assert len(new) == 1 and cost(new[0][1]) > 512 - 96 - 256
+        if x.conv_id in system and cost(system[x.conv_id]) <= 256:
+            assert turns[0][1] == system[x.conv_id]
+        elif x.conv_id in system:
+            assert all(t != system[x.conv_id] for _, t in turns) or turns == [["system", system[x.conv_id]]]
+        seen.update((x.conv_id, t) for _, t in new)
+    assert seen == Counter((c, t) for c, _, _, t in rows)
+
+
 def test_png_reads_every_filter_and_tests_sums():
     rng = np.random.default_rng(1)
     for _ in range(10):
