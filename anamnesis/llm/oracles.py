@@ -41,7 +41,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _CUT = r"'[^0-9a-z\x{80}-\x{10FFFF}]+'"
 _PHRASES = ", ".join(f"({p.split()!r}, '{label}')" for p, label in license_scan.PHRASES)
-_TEMPLATES = ", ".join(f"({sorted(set(t.split()))!r}, '{label}')" for t, label in license_scan.TEMPLATES)
+_TEMPLATES = ", ".join(f"({sorted(set(t.split()))!r}, '{label}', {k})" for k, (t, label) in enumerate(license_scan.TEMPLATES))
 
 LICENSES = f"""
 WITH d AS (SELECT doc_id, {_LOWER} AS t FROM documents),
@@ -50,9 +50,17 @@ phrases(p, label) AS (VALUES {_PHRASES}),
 places AS (SELECT doc_id, label, i - 1 AS at_word FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w WHERE list_has_any(ws, ['license', 'cc'])), phrases WHERE ws[i] = p[1] AND ws[i:i + len(p) - 1] = p),
 base AS (SELECT doc_id, count(*) AS n_base, min(at_word) AS first_word, max(at_word) AS last_word FROM places GROUP BY doc_id),
 lines AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(line, {_CUT}), lambda x: x <> '')) AS ws FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
-templates(tw, label) AS (VALUES {_TEMPLATES}),
-held AS (SELECT doc_id, label, len(list_intersect(ws, tw))::DOUBLE / len(tw) AS share FROM lines, templates WHERE len(list_intersect(ws, tw)) >= ceil(round({license_scan.CONTAINED}::DOUBLE * len(tw), 9))),
-labelled AS (SELECT doc_id, label, 1.0::DOUBLE AS share, true AS is_base FROM places UNION ALL SELECT doc_id, label, share, false FROM held),
+templates(tw, label, k) AS (VALUES {_TEMPLATES}),
+seen AS (SELECT word, count(DISTINCT doc_id) AS n FROM (SELECT doc_id, unnest(ws) AS word FROM (SELECT row_number() OVER () AS doc_id, ws FROM w)) GROUP BY word),
+weights AS (SELECT word, greatest(round({license_scan.GRAIN} * ln(1 + (SELECT count(*) FROM documents) / (1 + coalesce(n, 0)))), 1)::BIGINT AS g
+  FROM (SELECT DISTINCT unnest(tw) AS word FROM templates) LEFT JOIN seen USING (word)),
+whole AS (SELECT k, sum(g) AS whole FROM (SELECT k, unnest(tw) AS word FROM templates) JOIN weights USING (word) GROUP BY k),
+block AS (SELECT row_number() OVER () AS b, doc_id, ws FROM lines WHERE list_has_any(ws, (SELECT list(word) FROM weights))),
+common AS (SELECT b, k, sum(g) AS held, list(word) AS words FROM (SELECT b, unnest(ws) AS word FROM block) JOIN (SELECT k, unnest(tw) AS word FROM templates) USING (word) JOIN weights USING (word) GROUP BY b, k),
+met AS (SELECT b, k, held::DOUBLE / whole AS share, words FROM common JOIN whole USING (k) WHERE held >= ceil(round({license_scan.CONTAINED}::DOUBLE * whole, 6))),
+held AS (SELECT doc_id, label, share FROM met m JOIN block USING (b) JOIN templates USING (k)
+  WHERE NOT EXISTS (SELECT 1 FROM met o WHERE o.b = m.b AND o.k <> m.k AND list_has_all(o.words, m.words) AND (o.share > m.share OR (o.share = m.share AND len(o.words) > len(m.words))))),
+labelled AS (SELECT doc_id, label, 1.0::DOUBLE AS share FROM places UNION ALL SELECT doc_id, label, share FROM held),
 names AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM labelled GROUP BY doc_id),
 own AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY doc_id)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,

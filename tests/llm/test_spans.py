@@ -167,15 +167,31 @@ def test_automata_agree_with_regexes():
     assert self_check(["a*b|c+x?", "(?:ab|a)c{1,3}", "[^a-c]+[0-9]{2,}", "x(y|z)*0"], samples)
 
 
+def brute_labels(blocks, templates, weight, contained):
+    """Labels of blocks (sets of words) by weighing every template against each."""
+    labels = set()
+    for block in blocks:
+        met = []
+        for text, label in templates:
+            own = set(text.split())
+            held, whole = sum(weight[w] for w in own & block), sum(weight[w] for w in own)
+            if held >= math.ceil(round(contained * whole, 6)):
+                met.append((held / whole, own & block, label))
+        for share, common, label in met:
+            if not any(common <= o and (s, len(o)) > (share, len(common)) for s, o, _ in met):
+                labels.add(label)
+    return labels
+
+
 def test_license_join_is_brute_containment(spark, odd, odd_rows, none):
-    templates = (("alpha beta gamma delta epsilon", "t1"), ("beta beta zeta eta", "t2"), ("gamma", "t3"))
+    templates = (("alpha beta gamma delta epsilon", "t1"), ("beta beta zeta eta", "t2"), ("gamma", "t3"), ("alpha beta gamma delta epsilon zeta", "t4"))
     r = random.Random(2)
     vocab = "alpha beta gamma delta epsilon zeta eta theta iota".split()
-    rows = [(i, "\n".join(" ".join(r.choice(vocab) for _ in range(r.randint(0, 8))) for _ in range(r.randint(0, 4)))) for i in range(300)]
+    rows = [(i, "\n".join(" ".join(r.choice(vocab[: r.choice([3, 6, 9])]) for _ in range(r.randint(0, 8))) for _ in range(r.randint(0, 4)))) for i in range(300)]
+    weight = {w: round(10_000 * math.log(1 + len(rows) / (1 + sum(w in t.split() for _, t in rows)))) for w in vocab}
     got = {x.doc_id: x.labels for x in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates, 0.75).collect()}
     for i, t in rows:
-        want = {label for text, label in templates for line in t.split("\n") if len(set(text.split()) & set(line.split())) >= 0.75 * len(set(text.split()))}
-        assert got[i] == ",".join(sorted(want))
+        assert got[i] == ",".join(sorted(brute_labels([set(x.split()) for x in t.split("\n")], templates, weight, 0.75)))
     rows = {x.doc_id: x for x in license_scan.scan(odd).collect()}
     assert rows[10].base_labels == "apache,mit" and (rows[10].n_base, rows[10].first_word, rows[10].last_word) == (2, 3, 8)
     assert rows[1].first_word is None and license_scan.scan(none).count() == 0 and license_scan.scan(odd).count() == len(odd_rows)
@@ -183,11 +199,14 @@ def test_license_join_is_brute_containment(spark, odd, odd_rows, none):
 
 def test_license_notices_wrapped_over_lines(spark):
     notices = {label + str(n): (text, label) for n, (text, label) in enumerate(license_scan.TEMPLATES)}
+    notices_of = [text for text, _ in notices.values() for _ in range(3)]
     wrapped = [("\n".join(" * " + x for x in textwrap.wrap(text, w)), label) for text, label in notices.values() for w in (30, 45, 75)]
     rows = [(i, f"some code\n\n{t}\n\nmore code") for i, (t, _) in enumerate(wrapped)] + [(len(wrapped), "\n".join(w + " x" * 30 for w in license_scan.TEMPLATES[1][0].split()))]
     got = {x.doc_id: (x.labels, x.score) for x in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), over_lines=True).collect()}
     for i, (_, label) in enumerate(wrapped):
         assert label in got[i][0].split(",") and got[i][1] == 1.0
+        # No variant's label beside the notice's own, but for base phrases.
+        assert set(got[i][0].split(",")) - {label} <= {b for p, b in license_scan.PHRASES if p in notices_of[i]}
     assert got[len(wrapped)] == ("", 0.0)
 
 
@@ -195,13 +214,24 @@ def test_license_runs_are_brute_containment():
     templates = (("alpha beta gamma delta epsilon", "t1"), ("beta beta zeta eta", "t2"), ("gamma", "t3"))
     r = random.Random(6)
     vocab = [w.encode() for w in "alpha beta gamma delta epsilon zeta eta theta iota kappa x y z".split()]
-    join = license_scan.TemplateJoin(templates, {w: r.randint(1, 9) for w in vocab}, 0.75)
+    weight = {w: r.randint(1, 9) for w in vocab}
+    join = license_scan.TemplateJoin(templates, weight, 0.75)
     for _ in range(500):
         words = [r.choice(vocab) for _ in range(r.randint(0, 40))]
         want = {}
         for k, (text, _) in enumerate(templates):
             own, n = set(text.encode().split()), -(-len(text.split()) * 4 // 3)
-            most = max((len(own & set(words[i : i + n])) for i in range(len(words))), default=0)
-            if most >= 0.75 * len(own):
-                want[k] = most / len(own)
-        assert join.match_over_lines(words) == want
+            whole = sum(weight[w] for w in own)
+            most = max((sum(weight[w] for w in own & set(words[i : i + n])) for i in range(len(words))), default=0)
+            if most >= math.ceil(round(0.75 * whole, 6)):
+                want[k] = most / whole
+        assert {k: share for k, (share, _) in join.match_over_lines(words).items()} == want
+
+
+def test_license_labels_are_precise(spark):
+    lines = ["Released under the Apache License", "Licensed under the terms of the house", *[f"filler {i} the of is and under license" for i in range(200)]]
+    lines += [t for t, _ in license_scan.TEMPLATES]
+    got = {x.doc_id: x.labels for x in license_scan.scan(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), over_lines=True).collect()}
+    assert got[0] == "apache" and not any(got[i] for i in range(1, 202))
+    for i, (t, label) in enumerate(license_scan.TEMPLATES, 202):
+        assert set(got[i].split(",")) - {b for p, b in license_scan.PHRASES if p in t} <= {label} and label in got[i].split(",")
