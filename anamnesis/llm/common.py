@@ -60,12 +60,14 @@ def map_texts(
 def settle(df: DataFrame) -> DataFrame:
     """Compute once and cut the lineage through the shared checkpoint folder.
 
-    The folder comes from spark.checkpoint.dir; only where a session has none
-    (a local test) is a folder under the warehouse directory set.
+    The folder comes from spark.checkpoint.dir; only where a local session has none
+    (a test) is a folder under the warehouse directory set. A cluster must name one.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = context.getConf().get("spark.checkpoint.dir", "")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
     return df.checkpoint()
