@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anamnesis.operators.graph import _settle
+from anamnesis.operators.graph import _settle, shared_folder
 from anamnesis.plans import stand_ins as si
 from anamnesis.registry import query, table
 from anamnesis.sources import datasets
@@ -16,8 +16,7 @@ from anamnesis.streaming import turns as st
 
 def place(s: SparkSession, name: str) -> str:
     """A fresh folder that executors and driver share."""
-    base = s.sparkContext.getConf().get("spark.checkpoint.dir", "") or s.conf.get("spark.sql.warehouse.dir")
-    return f"{base}/_anamnesis/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(s)}/_anamnesis/{name}-{uuid.uuid4().hex}"
 
 
 for _n in ("sink_csv", "source_csv"):
