@@ -206,21 +206,107 @@ def touch(memories: DataFrame, hits: DataFrame, now: Column) -> DataFrame:
     return memories.join(hit, "key", "left").withColumns({"access_count": F.when(F.col("hit"), count).otherwise(F.col("access_count")), "accessed_at": F.when(F.col("hit"), now).otherwise(F.col("accessed_at"))}).drop("hit")
 
 
-def vector_blocks(rows: DataFrame, vectors: list[list[float]]) -> DataFrame:
-    """(key, best, score): each row's best of a bounded list of vectors, in numpy blocks."""
+def vector_blocks(rows: DataFrame, pool: DataFrame, most: int = 16_384) -> DataFrame:
+    """(key, best, score): each row's best of a pool (key, embedding), in numpy blocks.
+
+    The pool goes to the tasks in blocks of at most ``most`` vectors; the blocks'
+    bests meet in one aggregation.
+    """
     import numpy as np
     import pyarrow as pa
 
-    pool = np.array(vectors, dtype=float)
-    pool = pool / np.maximum(np.linalg.norm(pool, axis=1, keepdims=True), 1e-300)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            vec = np.array(b.column(1).to_pylist(), dtype=float)
-            if not len(vec):
-                continue
-            sims = (vec / np.maximum(np.linalg.norm(vec, axis=1, keepdims=True), 1e-300)) @ pool.T
-            best = sims.argmax(1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(best, pa.int64()), pa.array(np.round(sims[np.arange(len(best)), best], 6))], names=["key", "best", "score"])
-
-    return rows.select("key", "embedding").mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, best long, score double")
+    parts = pool.count() // most + 1
+    spark = rows.sparkSession
+    kind = rows.schema["key"].dataType.simpleString()
+    found = None
+    for i in range(parts):
+        some = (pool if parts == 1 else pool.filter(F.pmod(F.xxhash64("key"), F.lit(parts)) == i)).orderBy("key").collect()
+        if not some:
+            continue
+        unit = np.array([r.embedding for r in some], dtype=float)
+        unit = unit / np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-300)
+        held, names = spark.sparkContext.broadcast(unit), [r.key for r in some]
+
+        def run(batches: Iterator[pa.RecordBatch], held=held, names=names) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            for b in batches:
+                vec = np.array(b.column(1).to_pylist(), dtype=float)
+                if not len(vec):
+                    continue
+                sims = (vec / np.maximum(np.linalg.norm(vec, axis=1, keepdims=True), 1e-300)) @ held.value.T
+                best = sims.argmax(1)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([names[x] for x in best], b.schema.field(0).type), pa.array(np.round(sims[np.arange(len(best)), best], 6))], names=["key", "best", "score"])
+
+        near = rows.select("key", "embedding").mapInArrow(run, f"key {kind}, best {kind}, score double")
+        found = near if found is None else found.unionByName(near)
+    if found is None or parts == 1:
+        return found if found is not None else rows.select("key", F.lit(None).cast(kind).alias("best"), F.lit(None).cast("double").alias("score"))
+    order = F.struct("score", (-F.col("best")).alias("minus")) if kind in ("int", "bigint") else F.struct("score", "best")
+    return found.groupBy("key").agg(F.max_by("best", order).alias("best"), F.max("score").alias("score"))
+
+
+MOST_MEMORIES = 50
+LITE, FULL, MULTIHOP = "lite", "full", "multihop"
+
+
+def graph_arm(seeds_: DataFrame, mentions: DataFrame, entities: DataFrame, edges: DataFrame, weight: DataFrame, hops: int = 2, pool: int = POOL, most: int = MOST_MEMORIES) -> DataFrame:
+    """(query, key, score, rank): memories of the entities near those that the seeds mention.
+
+    seeds: query, key; mentions: memory, entity; entities: key, belief, centrality;
+    edges: lo, hi, weight; weight: key, weight. An entity's trust is the greatest of its
+    belief, its centrality and the mean weight of the best path there; a memory's
+    score is 1 / (1 + least hop) * (0.5 + 0.5 * greatest trust) * its weight. Seeds are
+    no hits; an entity gives its first ``most`` memories.
+    """
+    start = seeds_.join(mentions, F.col("key") == F.col("memory")).select("query", F.col("entity").alias("node")).distinct()
+    reach = khop(start, edges, hops)
+    known = entities.select(F.col("key").alias("node"), "belief", "centrality")
+    path = F.when(F.col("hop") > 0, F.col("sum_w") / F.col("hop"))
+    near = reach.join(known, "node").withColumn("trust", F.coalesce(F.greatest("belief", "centrality", path), F.lit(0.0)))
+    nth = F.row_number().over(Window.partitionBy("query", "node").orderBy("memory"))
+    held = near.join(mentions, F.col("entity") == F.col("node")).withColumn("_n", nth).filter(F.col("_n") <= most)
+    others = held.select("query", F.col("memory").alias("key"), "hop", "trust").join(seeds_.select("query", "key"), ["query", "key"], "left_anti")
+    base = others.groupBy("query", "key").agg((1.0 / (1 + F.min("hop")) * (0.5 + 0.5 * F.max("trust"))).alias("base"))
+    scored = base.join(weight, "key").select("query", "key", F.round(F.col("base") * F.col("weight"), 6).alias("score"))
+    return top(scored.withColumn("order", F.col("score")), pool).select("query", "key", "score", "rank")
+
+
+def gather(memories: DataFrame, queries: DataFrame, now: Column, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, graph: tuple[DataFrame, DataFrame, DataFrame] | None = None, pool: int = POOL, hops: int = 2) -> DataFrame:
+    """(query, key, fused, signals): the arms' lists fused and faded by age.
+
+    memories: key, text, strength, accessed_at. Without vectors the vector arm is
+    left out, without a graph (mentions, entities, edges) the graph arm.
+    """
+    strong = memories.withColumn("strength", F.when(F.coalesce("strength", F.lit(0.0)) == 0, 1.0).otherwise(F.col("strength")))
+    fade = decay_multiplier(F.col("strength"), F.col("accessed_at"), now)
+    arms = {"bm25": bm25(strong, queries, weight=fade, pool=pool)}
+    if vectors is not None and query_vectors is not None:
+        live = vectors.join(memories.select("key"), "key", "left_semi")
+        arms["vector"] = vector_top(live, query_vectors, pool)
+    if graph is not None and hops > 0:
+        first = seeds(list(arms.values())).select("query", "key")
+        arms["graph"] = graph_arm(first, *graph, strong.select("key", fade.alias("weight")), hops, pool)
+    found = fuse(arms)
+    aged = found.join(strong.select("key", effective_strength(F.col("strength"), F.col("accessed_at"), now).alias("alive")), "key")
+    return aged.select("query", "key", F.round(F.col("fused") * F.col("alive"), 9).alias("fused"), "signals")
+
+
+def best_hits(found: DataFrame, memories: DataFrame, k: int, budget: int, vectors: DataFrame | None = None, lambda_: float = 1.0, scorer: Column | None = None, texts: DataFrame | None = None, top_n: int = 50) -> DataFrame:
+    """(query, key, text, score, rank, signals): reranked, diversified, packed by tiers.
+
+    ``scorer`` rescores the first ``top_n`` with ``query_text`` (from texts: query, text)
+    and ``text`` at hand and drops the rest. A lambda of one takes the best k as they are.
+    """
+    ranked = top(found, None, "fused")
+    if scorer is not None:
+        rows = ranked.filter(F.col("rank") <= top_n).join(memories.select("key", "text"), "key").join(texts.select("query", F.col("text").alias("query_text")), "query")
+        ranked = top(rows.withColumn("fused", F.round(scorer, 6)).select("query", "key", "fused", "signals"), None, "fused")
+    if lambda_ >= 1.0 or vectors is None:
+        chosen = ranked.filter(F.col("rank") <= k)
+    else:
+        empty = F.array().cast("array<double>")
+        rows = ranked.filter(F.col("rank") <= max(top_n, k)).join(vectors.select("key", "embedding"), "key", "left").withColumn("embedding", F.coalesce("embedding", empty))
+        chosen = ranked.join(mmr(rows, k, lambda_).select("query", "key"), ["query", "key"])
+    full = chosen.drop("rank").join(memories.select("key", "text", F.col("type").alias("tier")), "key").withColumnRenamed("fused", "score")
+    kept = pack_tiers(full, budget)
+    packed = full.join(kept, ["query", "key"])
+    return top(packed, None, "score").select("query", "key", "text", F.round("score", 6).alias("score"), "rank", "signals")

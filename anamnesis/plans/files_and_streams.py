@@ -28,11 +28,11 @@ for _n in ("sink_csv", "source_csv"):
         return datasets.read_csv(s, path, "event_id bigint, event_type string, value double")
 
 
-@query("source_json_dataset", "SELECT conv_id::VARCHAR AS sample_id, turn, role AS speaker, md5(text) AS digest FROM conversations WHERE conv_id < 20")
+@query("source_json_dataset", "SELECT conv_id::VARCHAR AS sample_id, turn, role AS speaker, md5(text) AS digest FROM conversations")
 def source_json_dataset(s: SparkSession, d: str) -> DataFrame:
     """Conversations written as one dataset document, read again."""
     path = place(s, "dataset")
-    c = table(s, d, "conversations").filter("conv_id < 20")
+    c = table(s, d, "conversations")
     turns = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.struct(x["role"].alias("speaker"), x["text"].alias("text"))).alias("t"))
     samples = turns.agg(F.collect_list(F.struct(F.col("conv_id").cast("string").alias("sample_id"), F.array("t").alias("sessions"))).alias("samples"))
     samples.coalesce(1).write.json(path)

@@ -175,7 +175,7 @@ for _n in ("join_pair_self", "ing_pairs"):
 query("ing_pair_resolution", f"WITH {si.RELATES} SELECT lo, hi, CASE WHEN corroboration > 1 THEN 'caused_by' ELSE 'associated_with' END AS relationship FROM relates")(
     lambda s, d: si.relates(s, d).select("lo", "hi", F.coalesce(F.when(F.col("corroboration") > 1, tx.relation(F.lit("Caused by"))), F.lit("associated_with")).alias("relationship"))
 )
-query("ing_edges", "SELECT DISTINCT l_orderkey::VARCHAR || '__' || l_suppkey::VARCHAR AS key FROM lineitem WHERE l_orderkey % 16 = 1")(
+query("ing_edges", "SELECT DISTINCT l_orderkey::VARCHAR || '__' || l_suppkey::VARCHAR AS key FROM lineitem")(
     lambda s, d: si.mentions(s, d).select(F.concat_ws("__", F.col("memory").cast("string"), F.col("entity").cast("string")).alias("key"))
 )
 _MATCH = """WITH r AS (SELECT vec_id AS key, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 20 = 0),
@@ -227,7 +227,6 @@ query("win_prev_step", f"SELECT event_id, prev, step FROM ({_PREV}) WHERE prev I
 
 
 @query("vector_block_kernel", """SELECT key, match AS best, similarity AS score FROM (SELECT a.vec_id AS key, b.vec_id AS match, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity,
-row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS n FROM embeddings a JOIN embeddings b ON b.vec_id < 16) WHERE n = 1""")
+row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS n FROM embeddings a JOIN embeddings b ON b.vec_id % 20 = 0) WHERE n = 1""")
 def vector_block_kernel(s: SparkSession, d: str) -> DataFrame:
-    pool = [r.embedding for r in vectors(s, d).filter("key < 16").orderBy("key").limit(16).collect()]
-    return vector_blocks(vectors(s, d), pool)
+    return vector_blocks(vectors(s, d), vectors(s, d).filter(F.col("key") % si.EVERY == 0))

@@ -71,10 +71,10 @@ query("graph_view_topn", f"WITH {si.RELATES}, {si.ENTITIES}, t AS (SELECT key FR
     )
 )
 # Joins.
-query("join_traverse_out", "SELECT DISTINCT l_orderkey AS memory, s_name AS name FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_orderkey % 16 = 1")(
+query("join_traverse_out", "SELECT DISTINCT l_orderkey AS memory, s_name AS name FROM lineitem JOIN supplier ON s_suppkey = l_suppkey")(
     lambda s, d: si.mentions(s, d).join(table(s, d, "supplier"), F.col("entity") == F.col("s_suppkey")).select("memory", F.col("s_name").alias("name"))
 )
-query("join_traverse_in", "SELECT l_suppkey AS entity, count(DISTINCT l_orderkey) AS memories, sum(DISTINCT l_orderkey)::BIGINT AS total FROM lineitem WHERE l_orderkey % 16 = 1 GROUP BY l_suppkey")(
+query("join_traverse_in", "SELECT l_suppkey AS entity, count(DISTINCT l_orderkey) AS memories, sum(DISTINCT l_orderkey)::BIGINT AS total FROM lineitem GROUP BY l_suppkey")(
     lambda s, d: si.mentions(s, d).groupBy("entity").agg(F.count("*").alias("memories"), F.sum("memory").alias("total"))
 )
 query("join_token_match", f"WITH {BM25_CTE.split(',' + chr(10) + 'terms')[0]} SELECT DISTINCT query, doc_id FROM q, documents d WHERE list_has_any(list_filter({_TOK.format('q.text')}, lambda x: length(x) > 6), {_TOK.format('d.text')})")(
@@ -87,7 +87,7 @@ query("join_tool_call_result", "SELECT c.event_id AS call, coalesce(r.event_id,
     lambda s, d: table(s, d, "events").select(F.col("event_id").alias("call"), (F.col("event_id") + 1).alias("next"), F.col("user_id").alias("u")).join(table(s, d, "events").select(F.col("event_id").alias("result"), F.col("event_type").alias("tool"), "user_id"), (F.col("next") == F.col("result")) & (F.col("u") == F.col("user_id")), "left").select("call", F.coalesce("result", F.lit(-1)).alias("result"), F.coalesce("tool", F.lit("unknown")).alias("tool"))
 )
 # Aggregations.
-query("agg_group_rep", "SELECT DISTINCT l_suppkey AS entity FROM lineitem WHERE l_orderkey % 16 = 1")(lambda s, d: si.mentions(s, d).dropDuplicates(["entity"]).select("entity"))
+query("agg_group_rep", "SELECT DISTINCT l_suppkey AS entity FROM lineitem")(lambda s, d: si.mentions(s, d).dropDuplicates(["entity"]).select("entity"))
 
 
 def scores(s: SparkSession, d: str) -> DataFrame:
@@ -207,8 +207,8 @@ query("ex_community_hue", "SELECT s_suppkey, CASE WHEN s_suppkey % 9 = 0 THEN NU
 query("ex_specialist", "SELECT conv_id, count(*) AS claims, min(turn) AS first, max(turn) AS last FROM conversations GROUP BY conv_id")(lambda s, d: table(s, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("claims"), F.min("turn").alias("first"), F.max("turn").alias("last")))
 query("ex_gather_claims", f"WITH {BM25_CTE} SELECT query, key, source AS agent FROM bm25 JOIN documents ON doc_id = key WHERE rank <= 24")(lambda s, d: bm25_arm(s, d).filter("rank <= 24").join(docs(s, d), "key").select("query", "key", F.col("source").alias("agent")))
 query("ex_dispute_text", f"WITH {si.ENTITIES} SELECT key, CASE WHEN needs_review THEN 'Trust ' || name || ' over ' || label ELSE name END AS said FROM entities")(lambda s, d: si.entities(s, d).select("key", F.when(F.col("needs_review"), F.concat(F.lit("Trust "), "name", F.lit(" over "), "label")).otherwise(F.col("name")).alias("said")))
-query("ex_golden_events", "SELECT 'step' AS kind, o_orderkey AS id FROM orders WHERE o_orderkey < 50 UNION ALL SELECT 'dispute', l_orderkey FROM lineitem WHERE l_orderkey < 20 UNION ALL SELECT 'done', 0")(
-    lambda s, d: table(s, d, "orders").filter("o_orderkey < 50").select(F.lit("step").alias("kind"), F.col("o_orderkey").alias("id")).unionByName(table(s, d, "lineitem").filter("l_orderkey < 20").select(F.lit("dispute").alias("kind"), F.col("l_orderkey").alias("id"))).unionByName(s.range(1).select(F.lit("done").alias("kind"), "id"))
+query("ex_golden_events", "SELECT 'step' AS kind, o_orderkey AS id FROM orders UNION ALL SELECT 'dispute', l_orderkey FROM lineitem UNION ALL SELECT 'done', 0")(
+    lambda s, d: table(s, d, "orders").select(F.lit("step").alias("kind"), F.col("o_orderkey").alias("id")).unionByName(table(s, d, "lineitem").select(F.lit("dispute").alias("kind"), F.col("l_orderkey").alias("id"))).unionByName(s.range(1).select(F.lit("done").alias("kind"), "id"))
 )
 query("ex_narrate", "SELECT event_id, CASE WHEN value > 90 THEN 'great' WHEN value > 50 THEN 'good' ELSE 'slow' END AS said FROM events")(lambda s, d: table(s, d, "events").select("event_id", F.when(F.col("value") > 90, "great").when(F.col("value") > 50, "good").otherwise("slow").alias("said")))
 query("ex_persona", "SELECT n_nationkey, n_nationkey % 6 AS archetype, floor(n_nationkey / 6)::BIGINT AS cycle FROM nation")(lambda s, d: table(s, d, "nation").select("n_nationkey", F.pmod("n_nationkey", F.lit(6)).alias("archetype"), F.floor(F.col("n_nationkey") / 6).alias("cycle")))

@@ -12,7 +12,7 @@ from anamnesis.plans import stand_ins as si
 from anamnesis.registry import query, table
 
 _TOK = r"list_filter(string_split(trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' '), lambda x: x <> '')"
-QUERIES_CTE = "q AS (SELECT item_id AS query, array_to_string(list_slice(" + _TOK.format("text") + ", 1, 8), ' ') AS text FROM benchmark WHERE item_id < 5)"
+QUERIES_CTE = f"q AS (SELECT item_id AS query, text FROM benchmark WHERE item_id % {si.EVERY} = 0)"
 BM25_CTE = QUERIES_CTE + f""",
 terms AS (SELECT DISTINCT query, unnest({_TOK.format('text')}) AS term FROM q),
 toks AS (SELECT doc_id AS key, {_TOK.format('text')} AS t FROM documents),
@@ -22,7 +22,7 @@ df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 bm AS (SELECT query, key, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 6) AS score
   FROM tf JOIN df USING (term) JOIN terms USING (term) CROSS JOIN tot GROUP BY query, key),
 bm25 AS (SELECT * FROM (SELECT query, key, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS rank FROM bm) WHERE rank <= 100)"""
-VEC_CTE = """vq AS (SELECT vec_id AS query, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 5),
+VEC_CTE = f"""vq AS (SELECT vec_id AS query, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % {si.EVERY} = 0),
 vector AS (SELECT * FROM (SELECT query, key, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS rank FROM (
   SELECT query, vec_id AS key, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS score FROM embeddings, vq)) WHERE rank <= 100)"""
 FUSED_CTE = BM25_CTE + ",\n" + VEC_CTE + f""",
@@ -31,8 +31,8 @@ fused AS (SELECT query, key, round(sum(share), 9) AS fused, string_agg(arm, '+'
 
 
 def bench_queries(spark: SparkSession, d: str) -> DataFrame:
-    b = table(spark, d, "benchmark").filter("item_id < 5")
-    return b.select(F.col("item_id").alias("query"), F.array_join(F.slice(tx.tokens(F.col("text")), 1, 8), " ").alias("text"))
+    """Every benchmark row whose id is divisible by EVERY, with its whole text."""
+    return table(spark, d, "benchmark").filter(F.col("item_id") % si.EVERY == 0).select(F.col("item_id").alias("query"), "text")
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
@@ -44,7 +44,7 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vector_queries(spark: SparkSession, d: str) -> DataFrame:
-    return vectors(spark, d).filter("key < 5").select(F.col("key").alias("query"), "embedding")
+    return vectors(spark, d).filter(F.col("key") % si.EVERY == 0).select(F.col("key").alias("query"), "embedding")
 
 
 def bm25_arm(spark: SparkSession, d: str) -> DataFrame:
@@ -99,22 +99,6 @@ def life_strength(s: SparkSession, d: str) -> DataFrame:
     return si.memories(s, d).select("key", F.round(r.effective_strength(F.lit(None).cast("double"), F.col("created_at"), F.lit(si.NOW).cast("timestamp")), 6).alias("strength"))
 
 
-_HITS = "hits AS (SELECT f.query, f.key, round(fused * (0.5 + 0.5 / (1 + f.key % 7)), 9) AS fused FROM fused f)"
-
-
-@query("ret_recency", f"WITH {FUSED_CTE}, {_HITS} SELECT query, key, row_number() OVER (PARTITION BY query ORDER BY fused DESC, key)::INTEGER AS rank FROM hits")
-def ret_recency(s: SparkSession, d: str) -> DataFrame:
-    """Fused scores times a strength; the documents have none, so it is made of the key."""
-    hits = fused(s, d).select("query", "key", F.round(F.col("fused") * (0.5 + 0.5 / (1 + F.col("key") % 7)), 9).alias("fused"))
-    return r.top(hits, None, "fused").select("query", "key", "rank")
-
-
-@query("ret_gather", f"WITH {FUSED_CTE}, {_HITS} SELECT query, key, round(fused, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY fused DESC, key) AS rank FROM hits) WHERE rank <= 100")
-def ret_gather(s: SparkSession, d: str) -> DataFrame:
-    hits = fused(s, d).select("query", "key", F.round(F.col("fused") * (0.5 + 0.5 / (1 + F.col("key") % 7)), 9).alias("fused"))
-    return r.top(hits, 100, "fused").select("query", "key", F.round("fused", 6).alias("score"))
-
-
 @query("ret_second_rrf", f"WITH {BM25_CTE} SELECT key, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS fused, count(*) AS lists FROM bm25 GROUP BY key")
 def ret_second_rrf(s: SparkSession, d: str) -> DataFrame:
     """The queries as sub-queries of one: their lists fused again, each weighing one."""
@@ -169,7 +153,7 @@ def ret_vector_diag(s: SparkSession, d: str) -> DataFrame:
 
 _GRAPH = f"""WITH {si.RELATES},
 b AS (SELECT lo AS a, hi AS b, belief AS w FROM relates UNION ALL SELECT hi, lo, belief FROM relates),
-s0 AS (SELECT s_suppkey AS query, s_suppkey AS node, 0 AS hop, 0.0::DOUBLE AS sum_w FROM supplier WHERE s_suppkey <= 5),
+s0 AS (SELECT s_suppkey AS query, s_suppkey AS node, 0 AS hop, 0.0::DOUBLE AS sum_w FROM supplier WHERE s_suppkey % {si.EVERY} = 0),
 s1 AS (SELECT query, b.b AS node, 1 AS hop, max(w) AS sum_w FROM s0 JOIN b ON b.a = node WHERE b.b <> query GROUP BY ALL),
 v1 AS (SELECT * FROM s0 UNION ALL SELECT * FROM s1),
 s2 AS (SELECT s1.query, b.b AS node, 2 AS hop, max(sum_w + w) AS sum_w FROM s1 JOIN b ON b.a = node WHERE NOT EXISTS (SELECT 1 FROM v1 WHERE v1.query = s1.query AND v1.node = b.b) GROUP BY ALL),
@@ -178,7 +162,7 @@ reach AS (SELECT * FROM v1 UNION ALL SELECT * FROM s2)"""
 
 def reached(s: SparkSession, d: str) -> DataFrame:
     edges = si.relates(s, d).withColumnRenamed("belief", "weight")
-    start = table(s, d, "supplier").filter("s_suppkey <= 5").select(F.col("s_suppkey").alias("query"), F.col("s_suppkey").alias("node"))
+    start = table(s, d, "supplier").filter(F.col("s_suppkey") % si.EVERY == 0).select(F.col("s_suppkey").alias("query"), F.col("s_suppkey").alias("node"))
     return r.khop(start, edges, 2)
 
 
@@ -206,7 +190,7 @@ def ret_graph(s: SparkSession, d: str) -> DataFrame:
 query("agg_multi", f"{_GRAPH} SELECT node, min(hop) AS hops, round(max(sum_w), 6) AS most, count(DISTINCT query) AS queries FROM reach GROUP BY node")(
     lambda s, d: reached(s, d).groupBy("node").agg(F.min("hop").alias("hops"), F.round(F.max("sum_w"), 6).alias("most"), F.count("*").alias("queries"))
 )
-query("win_per_entity_cap", "SELECT entity, memory FROM (SELECT DISTINCT l_suppkey AS entity, l_orderkey AS memory, dense_rank() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) AS n FROM lineitem WHERE l_orderkey % 16 = 1) WHERE n <= 50")(
+query("win_per_entity_cap", "SELECT entity, memory FROM (SELECT DISTINCT l_suppkey AS entity, l_orderkey AS memory, dense_rank() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) AS n FROM lineitem) WHERE n <= 50")(
     lambda s, d: si.mentions(s, d).withColumn("n", F.row_number().over(Window.partitionBy("entity").orderBy("memory"))).filter("n <= 50").select("entity", "memory")
 )
 query("win_per_start_cap", f"{_GRAPH} SELECT query, node FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY hop, node) AS n FROM reach) WHERE n <= 200")(
@@ -250,7 +234,7 @@ def mmr_rows(s: SparkSession, d: str) -> DataFrame:
 
 
 query("ret_mmr")(lambda s, d: r.mmr(mmr_rows(s, d), 10, 0.5))
-query("topk_mmr", f"WITH {VEC_CTE} SELECT query, key, rank AS pick FROM vector WHERE rank <= 10")(lambda s, d: vector_arm(s, d).filter("rank <= 10").select("query", "key", F.col("rank").cast("long").alias("pick")))
+query("topk_mmr")(lambda s, d: r.mmr(mmr_rows(s, d), 5, 0.7))
 
 
 def tier_rows(s: SparkSession, d: str) -> DataFrame:
@@ -261,20 +245,70 @@ query("ret_pack")(lambda s, d: r.pack_tiers(tier_rows(s, d), 300))
 query("win_greedy_budget")(lambda s, d: r.pack_tiers(tier_rows(s, d), 150))
 
 
-@query("ret_impl", f"""WITH {BM25_CTE}, top AS (SELECT b.*, d.text FROM bm25 b JOIN documents d ON d.doc_id = b.key WHERE rank <= 10)
-SELECT query, string_agg('- ' || text, chr(10) ORDER BY rank) AS context, count(*) AS hits FROM top GROUP BY query""")
+_DECAY = f"exp(-0.02 * (epoch_us({si.NOW_SQL}) - epoch_us(accessed_at)) / 86400e6)"
+IMPL_CTE = BM25_CTE[: BM25_CTE.index(",\nbm25 AS (")] + f""",
+{si.DOC_MEMORIES}, {si.ENTITIES}, {si.RELATES},
+bm25 AS (SELECT query, key, row_number() OVER (PARTITION BY query ORDER BY round(score * {_DECAY}, 9) DESC, key) AS rank FROM bm JOIN docmem USING (key) QUALIFY rank <= 100),
+vq AS (SELECT vec_id AS query, embedding::DOUBLE[] AS q FROM embeddings JOIN benchmark ON item_id = vec_id WHERE vec_id % {si.EVERY} = 0),
+vector AS (SELECT query, key, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS rank FROM (
+  SELECT query, vec_id AS key, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS score FROM embeddings, vq WHERE vec_id IN (SELECT doc_id FROM documents)) QUALIFY rank <= 100),
+sd AS (SELECT query, key FROM bm25 WHERE rank <= 10 UNION SELECT query, key FROM vector WHERE rank <= 10),
+b AS (SELECT lo AS a, hi AS b, belief AS w FROM relates UNION ALL SELECT hi, lo, belief FROM relates),
+s0 AS (SELECT DISTINCT query, entity AS node, 0 AS hop, 0.0::DOUBLE AS sum_w FROM sd JOIN mentions ON memory = key),
+s1 AS (SELECT query, b.b AS node, 1 AS hop, max(w) AS sum_w FROM s0 JOIN b ON b.a = node WHERE NOT EXISTS (SELECT 1 FROM s0 v WHERE v.query = s0.query AND v.node = b.b) GROUP BY ALL),
+v1 AS (SELECT * FROM s0 UNION ALL SELECT * FROM s1),
+s2 AS (SELECT s1.query, b.b AS node, 2 AS hop, max(sum_w + w) AS sum_w FROM s1 JOIN b ON b.a = node WHERE NOT EXISTS (SELECT 1 FROM v1 WHERE v1.query = s1.query AND v1.node = b.b) GROUP BY ALL),
+near AS (SELECT query, node, hop, greatest(belief, CASE WHEN hop > 0 THEN sum_w / hop ELSE 0 END) AS trust FROM (SELECT * FROM v1 UNION ALL SELECT * FROM s2) JOIN entities ON key = node),
+held AS (SELECT query, memory, hop, trust FROM near JOIN mentions ON entity = node QUALIFY row_number() OVER (PARTITION BY query, node ORDER BY memory) <= 50),
+graph AS (SELECT query, key, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS rank FROM (
+  SELECT query, memory AS key, round(1.0 / (1 + min(hop)) * (0.5 + 0.5 * max(trust)) * any_value({_DECAY}), 6) AS score FROM held JOIN docmem ON docmem.key = memory
+  WHERE (query, memory) NOT IN (SELECT query, key FROM sd) GROUP BY query, memory) QUALIFY rank <= 100),
+fu AS (SELECT query, key, round(sum(share), 9) AS fused, string_agg(arm, '+' ORDER BY arm) AS signals FROM (
+  SELECT query, key, 'bm25' AS arm, 1.0::DOUBLE / (60 + rank) AS share FROM bm25 UNION ALL SELECT query, key, 'vector', 1.0::DOUBLE / (60 + rank) FROM vector
+  UNION ALL SELECT query, key, 'graph', 0.1::DOUBLE / (60 + rank) FROM graph) GROUP BY query, key),
+aged AS (SELECT query, key, signals, round(fused * exp(-0.02 * greatest((epoch_us({si.NOW_SQL}) - epoch_us(accessed_at)) / 86400e6, 0)), 9) AS fused FROM fu JOIN docmem USING (key)),
+best AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY fused DESC, key) AS rank FROM aged)"""
+
+
+def gathered(s: SparkSession, d: str) -> DataFrame:
+    """Three arms over the documents as memories, for every benchmark query."""
+    asked = bench_queries(s, d)
+    known = si.entities(s, d).withColumn("centrality", F.lit(None).cast("double"))
+    edges = si.relates(s, d).select("lo", "hi", F.col("belief").alias("weight"))
+    near = vector_queries(s, d).join(asked.select("query"), "query", "left_semi")
+    return r.gather(si.doc_memories(s, d), asked, F.lit(si.NOW).cast("timestamp"), vectors(s, d), near, (si.mentions(s, d), known, edges))
+
+
+@query("ret_gather", f"WITH {IMPL_CTE} SELECT query, key, round(fused, 6) AS score, signals FROM best WHERE rank <= 100")
+def ret_gather(s: SparkSession, d: str) -> DataFrame:
+    return r.top(gathered(s, d), r.POOL, "fused").select("query", "key", F.round("fused", 6).alias("score"), "signals")
+
+
+@query("ret_recency", f"WITH {IMPL_CTE} SELECT query, key, rank::INTEGER AS rank FROM best")
+def ret_recency(s: SparkSession, d: str) -> DataFrame:
+    return r.top(gathered(s, d), None, "fused").select("query", "key", "rank")
+
+
+@query("ret_retrieve", f"WITH {IMPL_CTE} SELECT query, key, round(fused, 6) AS score, rank::INTEGER AS rank, signals FROM best WHERE rank <= 10")
+def ret_retrieve(s: SparkSession, d: str) -> DataFrame:
+    """The whole way with the default lambda of one and a budget that holds all."""
+    return r.best_hits(gathered(s, d), si.doc_memories(s, d), 10, 1_000_000_000).drop("text")
+
+
+@query("ret_impl", f"""WITH {IMPL_CTE}, re AS (SELECT b.query, b.key, b.signals, round({_COVER}, 6) AS score FROM best b JOIN documents d ON d.doc_id = b.key JOIN q ON q.query = b.query WHERE b.rank <= 50),
+top AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS rank FROM re QUALIFY rank <= 10)
+SELECT query, string_agg('- ' || text, chr(10) ORDER BY rank) AS context, count(*) AS hits FROM top JOIN documents ON doc_id = key GROUP BY query""")
 def ret_impl(s: SparkSession, d: str) -> DataFrame:
-    hits = bm25_arm(s, d).filter(F.col("rank") <= 10).join(docs(s, d).select("key", "text"), "key")
+    """Arms, fusion, recency, reranking by coverage, best ten, packing, one context a query."""
+    asked = bench_queries(s, d)
+    hits = r.best_hits(gathered(s, d), si.doc_memories(s, d), 10, 1_000_000_000, scorer=r.rerank_coverage(F.col("query_text"), F.col("text")), texts=asked)
     lines = F.sort_array(F.collect_list(F.struct("rank", r.line(F.lit(None).cast("string"), F.col("text")).alias("line"))))
     return hits.groupBy("query").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("context"), F.count("*").alias("hits"))
 
 
-query("ret_retrieve", f"WITH {BM25_CTE} SELECT query, key, round(score, 6) AS score, 'bm25' AS source FROM bm25 WHERE rank <= 10")(
-    lambda s, d: bm25_arm(s, d).filter("rank <= 10").select("query", "key", F.round("score", 6).alias("score"), F.lit("bm25").alias("source"))
-)
 query("ing_embed_fake")(lambda s, d: embed(si.memories(s, d), "key", "text"))
 
 
-@query("join_correlated_topk", "WITH n AS (SELECT a.vec_id AS q, b.vec_id AS key, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) AS n FROM embeddings a, embeddings b WHERE a.vec_id < 5) SELECT DISTINCT key FROM n WHERE n <= 10")
+@query("join_correlated_topk", "WITH n AS (SELECT a.vec_id AS q, b.vec_id AS key, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) AS n FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0) SELECT DISTINCT key FROM n WHERE n <= 10")
 def join_correlated_topk(s: SparkSession, d: str) -> DataFrame:
     return r.vector_top(vectors(s, d), vector_queries(s, d), 10).select("key").distinct()

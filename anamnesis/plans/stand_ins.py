@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from anamnesis.registry import table
 
 NOW = "2024-03-01 00:00:00"
+#: Searches take every row whose id is divisible by this as a query, against all rows.
+EVERY = 20
 NOW_SQL = f"TIMESTAMP '{NOW}'"
 
 MEMORIES = """memories AS (
@@ -29,12 +31,16 @@ ENTITIES = """entities AS (
     SELECT l_suppkey, count(DISTINCT l_orderkey) AS mention_count, 0.05 * count(DISTINCT l_orderkey) AS reliability_sum
     FROM lineitem GROUP BY l_suppkey) m ON s_suppkey = m.l_suppkey)"""
 
-RELATES = """mentions AS (SELECT DISTINCT l_orderkey AS memory, l_suppkey AS entity FROM lineitem WHERE l_orderkey % 16 = 1),
+RELATES = """mentions AS (SELECT DISTINCT l_orderkey AS memory, l_suppkey AS entity FROM lineitem),
 relates AS (
   SELECT a.entity AS lo, b.entity AS hi, count(*) AS corroboration, 0.1 * count(*) AS reliability_sum,
          1 - pow(0.5, 0.1 * count(*)) AS belief
   FROM mentions a JOIN mentions b ON a.memory = b.memory AND a.entity < b.entity GROUP BY a.entity, b.entity)"""
 
+DOC_MEMORIES = """docmem AS (
+  SELECT doc_id AS key, text, 1.0::DOUBLE AS strength, TIMESTAMP '2024-01-01' + to_minutes(n_chars) AS accessed_at,
+         CASE WHEN doc_id % 3 = 0 THEN 'working' ELSE 'episodic' END AS type FROM documents)"""
+
 STEPS = """steps AS (
   SELECT sha256('t' || chr(31) || (user_id % 50)::VARCHAR || chr(31) || event_type || chr(31) || CASE WHEN value > 50 THEN 'success' ELSE 'failure' END) AS key,
          (user_id % 50)::VARCHAR AS agent, event_type AS tool_name, CASE WHEN value > 50 THEN 'success' ELSE 'failure' END AS outcome,
@@ -53,6 +59,16 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def doc_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as memories, last used as many minutes into 2024 as they have characters."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(
+        F.col("doc_id").alias("key"), "text", F.lit(1.0).alias("strength"),
+        (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("n_chars").cast("int"))).alias("accessed_at"),
+        F.when(F.col("doc_id") % 3 == 0, "working").otherwise("episodic").alias("type"),
+    )
+
+
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     mentioned = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey").distinct().groupBy("l_suppkey").agg(F.count("*").alias("mention_count"))
     s = table(spark, sf_dir, "supplier").join(mentioned, F.col("s_suppkey") == F.col("l_suppkey"), "left")
@@ -67,8 +83,8 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders stand for memories; every sixteenth is one, as a graph this dense has pairs enough."""
-    return table(spark, sf_dir, "lineitem").filter("l_orderkey % 16 = 1").select(F.col("l_orderkey").alias("memory"), F.col("l_suppkey").alias("entity")).distinct()
+    """Orders stand for memories, their suppliers for the entities named there."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("memory"), F.col("l_suppkey").alias("entity")).distinct()
 
 
 def relates(spark: SparkSession, sf_dir: str) -> DataFrame:

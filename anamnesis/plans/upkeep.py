@@ -57,7 +57,7 @@ query("life_different_community", f"WITH {si.ENTITIES} SELECT a.key, a.key % 3 <
         si.entities(s, d).select(F.explode(F.array(F.struct((F.col("key") - 3).alias("k"), F.lit(True).alias("any")), F.struct((F.col("key") - 1).alias("k"), ((F.col("key") - 1) % 2 == 0).alias("any")))).alias("x"), F.col("key").alias("b")).filter("x.any"), F.col("key") == F.col("x.k")
     ).select("key", (F.col("key") % 3 != F.col("b") % 3).alias("differs"))
 )
-_GATHER = "SELECT entity, count(*) AS texts, max(o_totalprice) AS most FROM (SELECT DISTINCT l_orderkey, l_suppkey AS entity FROM lineitem WHERE l_orderkey % 16 = 1) JOIN orders ON o_orderkey = l_orderkey GROUP BY entity"
+_GATHER = "SELECT entity, count(*) AS texts, max(o_totalprice) AS most FROM (SELECT DISTINCT l_orderkey, l_suppkey AS entity FROM lineitem) JOIN orders ON o_orderkey = l_orderkey GROUP BY entity"
 
 
 @query("life_distill_gather", _GATHER)
