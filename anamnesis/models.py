@@ -59,6 +59,28 @@ def hypothetical(query: str, generator: Generator | None) -> str:
         return query
 
 
+def decompose(query: str, generator: Generator | None, most: int = 4) -> list[str]:
+    """The query and the sub-queries that the generator names, a line each; on a
+    fault or without one, the query alone."""
+    try:
+        said = generator.complete(f"Split into sub-questions, one a line: {query}") if generator else ""
+    except Exception:
+        said = ""
+    lines = [x.strip().lstrip("-*0123456789.) ").strip() for x in said.splitlines()]
+    return list(dict.fromkeys([query, *[x for x in lines if x]]))[: most + 1]
+
+
+def model_vectors(rows: DataFrame, load: Callable[[], Embedder], key: str = "key", text: str = "text") -> DataFrame:
+    """(key, embedding); the model is loaded once a task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for pdf in batches:
+            yield pd.DataFrame({key: pdf[key], "embedding": model.embed_batch(pdf[text].fillna("").tolist())})
+
+    return rows.select(key, text).mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, embedding array<double>")
+
+
 def embed_or_nothing(text: str, embedder: Embedder) -> list[float]:
     """The vector, or none on a fault, so that only the word arm runs."""
     try:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,10 +86,32 @@ def purge(nodes: DataFrame, edges: DataFrame, tenant: str, agent: str | None = N
     return left, edges
 
 
-def write_once(path_exists: bool) -> None:
-    """Episodes are provenance: a second write to their place is an error."""
-    if path_exists:
-        raise PermissionError("episodes are written once")
+def write_once(rows: DataFrame, path: str) -> None:
+    """Episodes are provenance: they are written to a new place, or not at all."""
+    spark = rows.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at.suffix("/_SUCCESS")):
+        raise PermissionError(f"{path} is written once")
+    # What a failed job left there is no version yet.
+    rows.write.mode("overwrite").parquet(path)
+
+
+def reembed(vectors: DataFrame, memories: DataFrame, embed: Callable[[DataFrame], DataFrame], version: str) -> DataFrame:
+    """(key, embedding, version): vectors of another version, and memories without one,
+    are made anew; the others stay."""
+    current = vectors.filter(F.col("version") == version).select("key", "embedding", "version")
+    stale = memories.select("key", "text").join(current.select("key"), "key", "left_anti")
+    return current.unionByName(embed(stale).select("key", "embedding").withColumn("version", F.lit(version)))
+
+
+def relabel(edges: DataFrame, entities: DataFrame, proposals: DataFrame) -> DataFrame:
+    """Edges between labels of an approved proposal take its relationship."""
+    a = entities.select(F.col("key").alias("lo"), F.col("label").alias("la"))
+    b = entities.select(F.col("key").alias("hi"), F.col("label").alias("lb"))
+    p = proposals.filter("status = 'approved'").select("tenant", "label_a", "label_b", "proposed_relationship")
+    j = edges.join(a, "lo", "left").join(b, "hi", "left").withColumns({"label_a": F.least("la", "lb"), "label_b": F.greatest("la", "lb")})
+    named = j.join(p, ["tenant", "label_a", "label_b"], "left")
+    return named.withColumn("relationship", F.coalesce("proposed_relationship", "relationship")).select(*edges.columns)
 
 
 def rate_limited(hits: DataFrame, limit: int, window_s: int) -> DataFrame:

@@ -63,7 +63,7 @@ def _streamed(s: SparkSession, d: str, times: int) -> DataFrame:
 
 
 query("str_worker", _ONCE)(lambda s, d: _streamed(s, d, 1))
-for _n in ("str_replay", "str_flush_barrier", "str_sync_commit"):
+for _n in ("str_exactly_once", "str_sync_commit"):
     query(_n, _ONCE)(lambda s, d: _streamed(s, d, 2))
 
 

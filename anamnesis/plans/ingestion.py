@@ -117,7 +117,7 @@ def old_keys(s: SparkSession, d: str) -> DataFrame:
     return keyed(s, d).filter("session % 2 = 0 AND turn % 2 = 0").dropDuplicates(["key"])
 
 
-for _n in ("sink_insert_ignore", "sink_bulk_insert", "str_exactly_once"):
+for _n in ("sink_insert_ignore", "sink_bulk_insert"):
     query(_n, _ONCE)(lambda s, d: g.insert_ignore(old_keys(s, d), keyed(s, d)).select("key"))
 query("sink_replace", _ONCE)(lambda s, d: g.replace(old_keys(s, d), keyed(s, d)).select("key"))
 query("join_anti_idempotent", _NEW)(lambda s, d: keyed(s, d).join(old_keys(s, d).select("key"), "key", "left_anti").select("key").distinct())

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from anamnesis.functions import text as tx
-from anamnesis.functions.vector import cosine
+from anamnesis.functions.vector import cosine, embed
 from anamnesis.operators import evaluate as ev
 from anamnesis.plans import stand_ins as si
 from anamnesis.plans.retrieval import _TOK, BM25_CTE, bench_queries, bm25_arm, docs
 from anamnesis.registry import query, table
+from anamnesis.streaming import queue as wq
 
 # Scans, projections, filters.
 query("scan_collection", "SELECT doc_id, lang FROM documents WHERE source = 'src1'")(lambda s, d: table(s, d, "documents").filter("source = 'src1'").select("doc_id", "lang"))
@@ -49,11 +50,16 @@ def leases(s: SparkSession, d: str) -> DataFrame:
 query("filter_lease_free", f"SELECT event_id FROM {_QUEUE} WHERE leased_until IS NULL OR leased_until < {_AT}")(
     lambda s, d: leases(s, d).filter(F.col("leased_until").isNull() | (F.col("leased_until") < F.expr("TIMESTAMP_NTZ '2024-01-15 00:00:00'"))).select("event_id")
 )
-for _n in ("limit_fifo_claim", "str_claim"):
+for _n in ("limit_fifo_claim",):
     query(_n, f"SELECT event_id FROM {_QUEUE} WHERE leased_until IS NULL OR leased_until < {_AT} ORDER BY ts, event_id LIMIT 1")(
         lambda s, d: leases(s, d).filter(F.col("leased_until").isNull() | (F.col("leased_until") < F.expr("TIMESTAMP_NTZ '2024-01-15 00:00:00'"))).orderBy("ts", "event_id").limit(1).select("event_id")
     )
-query("str_queue", f"SELECT user_id, count(*) AS pending, count(leased_until) AS leased FROM {_QUEUE} GROUP BY user_id")(lambda s, d: leases(s, d).groupBy("user_id").agg(F.count("*").alias("pending"), F.count("leased_until").alias("leased")))
+query("str_claim", "SELECT event_id::VARCHAR AS id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id::VARCHAR) <= 2")(
+    lambda s, d: wq.held(wq.claim(queued(s, d), F.lit("2024-01-15").cast("timestamp"), 2), F.lit("2024-01-15 00:00:30").cast("timestamp")).select("id")
+)
+query("str_queue", "SELECT user_id::VARCHAR AS tenant, count(*) AS pending, least(count(*), 2)::BIGINT AS leased FROM events GROUP BY user_id")(
+    lambda s, d: wq.pending(wq.claim(queued(s, d), F.lit("2024-01-15").cast("timestamp"), 2), F.lit("2024-01-15 00:00:30").cast("timestamp"))
+)
 query("sanitize_field_null", "SELECT d.doc_id, coalesce(l.quality, -1) AS quality FROM documents d LEFT JOIN labels l USING (doc_id)")(lambda s, d: table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality")))
 _VIEW = f"WITH {si.RELATES}, {si.ENTITIES} SELECT lo, hi FROM relates WHERE corroboration > 1 AND lo IN (SELECT key FROM entities WHERE NOT needs_review) AND hi IN (SELECT key FROM entities WHERE NOT needs_review)"
 
@@ -133,9 +139,46 @@ query("sort_tier", f"WITH {si.MEMORIES} SELECT key, row_number() OVER (PARTITION
     lambda s, d: si.memories(s, d).select("key", F.row_number().over(Window.partitionBy("session").orderBy(F.array_position(F.array(F.lit("working"), F.lit("episodic")), F.col("type")), F.desc("turn"), "key")).alias("nth"))
 )
 query("set_absorb", "SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS rooms FROM events GROUP BY user_id")(lambda s, d: table(s, d, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.array_union(F.collect_set("event_type"), F.array().cast("array<string>"))), ",").alias("rooms")))
-query("str_dead_letter", "SELECT event_id, 'event' AS kind, 3 AS attempts FROM events WHERE value < 1")(lambda s, d: table(s, d, "events").filter("value < 1").select("event_id", F.lit("event").alias("kind"), F.lit(3).alias("attempts")))
-query("str_embed_cache", "SELECT count(*) AS asked, count(DISTINCT text) AS embedded FROM conversations")(lambda s, d: table(s, d, "conversations").agg(F.count("*").alias("asked"), F.countDistinct("text").alias("embedded")))
-query("ret_query_cache", "SELECT role, round(1 - count(DISTINCT text)::DOUBLE / count(*), 6) AS hit_rate FROM conversations GROUP BY role")(lambda s, d: table(s, d, "conversations").groupBy("role").agg(F.round(1 - F.countDistinct("text") / F.count("*"), 6).alias("hit_rate")))
+
+
+def queued(s: SparkSession, d: str) -> DataFrame:
+    """Every event enqueued as an item of its user."""
+    e = table(s, d, "events").select(F.col("event_id").cast("string").alias("id"), F.col("user_id").cast("string").alias("tenant"), F.col("props").alias("payload"), F.col("ts").cast("timestamp").alias("enqueued_at"))
+    return wq.enqueue(s.createDataFrame([], wq.ITEM), e)
+
+
+def buried(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Items that fail are those of a value under one: claimed and refused three times."""
+    items, now = queued(s, d), F.lit("2024-01-15").cast("timestamp")
+    bad = table(s, d, "events").filter("value < 1").select(F.col("event_id").cast("string").alias("id"), F.lit("too small").alias("error"))
+    dead = None
+    for _ in range(wq.ATTEMPTS):
+        items, dead = wq.nack(wq.claim(items, now), bad)
+    return items, dead
+
+
+query("str_dead_letter", "SELECT event_id::VARCHAR AS id, 3 AS attempts, 'too small' AS error FROM events WHERE value < 1")(lambda s, d: buried(s, d)[1].select("id", "attempts", "error"))
+query("str_replay", "SELECT event_id::VARCHAR AS id, 0 AS attempts, value >= 1 AS leased FROM events")(lambda s, d: wq.replay(*buried(s, d)).select("id", "attempts", F.col("leased_until").isNotNull().alias("leased")))
+query("str_flush_barrier", "SELECT 0::BIGINT AS still_queued, count(*) AS acknowledged FROM events")(
+    lambda s, d: (lambda q: wq.ack(wq.claim(q, F.lit("2024-01-15").cast("timestamp")), q).agg(F.count("*").alias("still_queued")).join(F.broadcast(q.agg(F.count("*").alias("acknowledged"))), F.lit(True)))(queued(s, d))
+)
+
+
+@query("str_embed_cache", "SELECT role, count(*) AS asked, count(DISTINCT text) AS texts, count(*) AS answered FROM conversations GROUP BY role")
+def str_embed_cache(s: SparkSession, d: str) -> DataFrame:
+    """Each different text is embedded once and joined back to all that ask for it."""
+    asked = table(s, d, "conversations").select("role", F.md5("text").alias("key"), "text")
+    made = embed(asked.select("key", "text").dropDuplicates(["key"]), "key", "text")
+    return asked.join(made, "key").groupBy("role").agg(F.count("*").alias("asked"), F.countDistinct("key").alias("texts"), F.count("embedding").alias("answered"))
+
+
+@query("ret_query_cache", "SELECT role, round(avg((n > 1)::INT), 6) AS hit_rate FROM (SELECT role, row_number() OVER (PARTITION BY role, text ORDER BY conv_id, turn) AS n FROM conversations) GROUP BY role")
+def ret_query_cache(s: SparkSession, d: str) -> DataFrame:
+    """A query hits if its text was asked before in the same scope."""
+    nth = F.row_number().over(Window.partitionBy("role", "text").orderBy("conv_id", "turn"))
+    return table(s, d, "conversations").withColumn("n", nth).groupBy("role").agg(F.round(F.avg((F.col("n") > 1).cast("int")), 6).alias("hit_rate"))
+
+
 # Evaluation.
 query("ev_normalize", f"SELECT item_id, array_to_string({_TOK.format('text')}, ' ') AS norm FROM benchmark")(lambda s, d: table(s, d, "benchmark").select("item_id", tx.normalized(F.col("text")).alias("norm")))
 _F1 = f"""WITH p AS (SELECT a.item_id, {_TOK.format('a.text')} AS x, {_TOK.format('b.text')} AS y FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1),

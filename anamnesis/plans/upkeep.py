@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from anamnesis.functions import text as tx
 from anamnesis.operators import graph, lifecycle as lc
 from anamnesis.plans import stand_ins as si
+from anamnesis.functions.vector import embed, norm
+from anamnesis.plans.files_and_streams import place
 from anamnesis.registry import query, table
 
 _M = f"""WITH {si.MEMORIES}, m AS (SELECT *, CASE WHEN turn % 2 = 0 THEN created_at - INTERVAL 100 DAY ELSE created_at END AS accessed_at FROM memories)"""
@@ -119,9 +121,18 @@ query("life_ontology_approve", f"{_ONT} SELECT lo, hi, CASE WHEN least(a.label,
 query("life_ontology_reject", f"{_ONT} SELECT tenant, label_a, label_b, CASE WHEN support < 10 THEN 'rejected' ELSE 'pending' END AS status FROM c")(
     lambda s, d: clusters(s, d).select("tenant", "label_a", "label_b", F.when(F.col("support") < 10, "rejected").otherwise("pending").alias("status"))
 )
-query("life_reembed", "SELECT vec_id AS key, CASE WHEN label % 2 = 0 THEN 2 ELSE 1 END AS version FROM embeddings")(
-    lambda s, d: table(s, d, "embeddings").filter("label % 2 = 0").select(F.col("vec_id").alias("key"), F.lit(2).alias("version")).unionByName(table(s, d, "embeddings").filter("label % 2 <> 0").select(F.col("vec_id").alias("key"), F.lit(1).alias("version")))
-)
+
+
+@query("life_reembed", f"""WITH {si.MEMORIES} SELECT key, 'v2' AS version, CASE WHEN turn % 2 = 0 OR regexp_matches(lower(text), '[\\p{{L}}\\p{{N}}]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm
+FROM (SELECT key, any_value(turn) AS turn, any_value(text) AS text FROM memories GROUP BY key)""")
+def life_reembed(s: SparkSession, d: str) -> DataFrame:
+    """Odd turns have vectors of an old version, even ones current unit vectors."""
+    m = si.memories(s, d).dropDuplicates(["key"])
+    old = m.select("key", F.when(F.col("turn") % 2 == 0, F.array(F.lit(0.6), F.lit(0.8))).otherwise(F.array(F.lit(0.5))).alias("embedding"), F.when(F.col("turn") % 2 == 0, "v2").otherwise("v1").alias("version"))
+    made = lc.reembed(old, m, lambda rows: embed(rows, "key", "text"), "v2")
+    return made.select("key", "version", F.round(norm(F.col("embedding")), 6).alias("norm"))
+
+
 query("life_rebuild_index", "SELECT label, count(*) >= 40 AS rebuilt FROM embeddings GROUP BY label")(lambda s, d: table(s, d, "embeddings").groupBy("label").agg((F.count("*") >= 40).alias("rebuilt")))
 
 query("sec_forget", f"{_M} SELECT key, CASE WHEN tenant = 'tenant3' AND agent = 'user' THEN {si.NOW_SQL} END AS invalid_at FROM m")(lambda s, d: lc.forget(mem(s, d), "tenant3", now(), "user").select("key", "invalid_at"))
@@ -134,7 +145,20 @@ def purged(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 query("sec_purge", f"WITH {si.ENTITIES} SELECT key FROM entities WHERE tenant <> 'tenant1'")(lambda s, d: purged(s, d)[0].select("key"))
 _DEL = f"WITH {si.RELATES}, {si.ENTITIES} SELECT lo, hi FROM relates WHERE lo NOT IN (SELECT key FROM entities WHERE tenant = 'tenant1') AND hi NOT IN (SELECT key FROM entities WHERE tenant = 'tenant1')"
 query("join_delete_edges", _DEL)(lambda s, d: purged(s, d)[1].select("lo", "hi"))
-query("sec_worm", "SELECT count(*) > 0 AS refused FROM conversations")(lambda s, d: table(s, d, "conversations").agg((F.count("*") > 0).alias("refused")))
+
+
+@query("sec_worm", "SELECT count(*) AS written, true AS refused FROM conversations")
+def sec_worm(s: SparkSession, d: str) -> DataFrame:
+    """Episodes written twice to one place: the second time is refused."""
+    path, rows, refused = place(s, "worm"), table(s, d, "conversations"), False
+    lc.write_once(rows, path)
+    try:
+        lc.write_once(rows.limit(1), path)
+    except PermissionError:
+        refused = True
+    return s.read.parquet(path).agg(F.count("*").alias("written")).withColumn("refused", F.lit(refused))
+
+
 query("sec_size_cap", "SELECT doc_id, strlen(text)::BIGINT AS bytes FROM documents WHERE strlen(text) > 4096")(lambda s, d: table(s, d, "documents").select("doc_id", F.octet_length("text").cast("long").alias("bytes")).filter("bytes > 4096"))
 query("sec_rate_limit")(lambda s, d: lc.rate_limited(table(s, d, "events").select(F.col("user_id").alias("user"), "ts", F.col("event_id").alias("event")), 3, 3600))
 query("sec_scope_claim", "SELECT claim, best FROM (VALUES ('read write', 'write'), ('read', 'read'), ('consolidate read', 'consolidate'), ('other', NULL)) t(claim, best)")(
