@@ -182,11 +182,12 @@ def verdicts(docs: DataFrame) -> DataFrame:
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The documents whose verdict is kept, with all their columns.
 
-    The measures are taken once: the rows that pass the base rules are stored with
-    them while the groups' limits are found.
+    The measures are taken once: the rows are stored with them while the groups'
+    limits are found. No filter stands before that, as it would be pushed below the
+    measures and take them again for each of its conditions.
     """
     whole = docs.select("doc_id", "text", "lang", "source", F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
-    measured = settle(measure(whole, ("row",)).filter("NOT base_failed"))
+    measured = settle(measure(whole, ("row",)))
     return judged(measured, group_limits(measured.drop("row"))).filter("kept").select("row.*")
 
 
