@@ -46,6 +46,8 @@ from anamnesis.llm.common import settle, table
 DOMAINS = ("good", "low", "toxic")
 #: Target shares of the tokens; the first domain keeps its expected total.
 WEIGHTS = {"good": 0.92, "low": 0.04, "toxic": 0.04}
+#: Upper shares of what is drawn.
+DRAWN = {"good": 0.95, "low": 0.03, "toxic": 0.02}
 SAMPLE, VOCABULARY = 6000, 256
 #: Characters of a word that count: word families share their beginning.
 STEM = 5
@@ -189,11 +191,12 @@ def _rate(p: Column, pulls: Sequence[Sequence[float]]) -> Column:
     return F.aggregate(steps, first, step, lambda acc: acc["rate"])
 
 
-def fit_rates(members: DataFrame, weights: dict[str, float] = WEIGHTS) -> tuple[list[list[float]], dict[str, tuple[float, float]]]:
+def fit_rates(members: DataFrame, weights: dict[str, float] = WEIGHTS, upper: bool = False) -> tuple[list[list[float]], dict[str, tuple[float, float]]]:
     """The steps' pulls that move every rate from one to its fitted value, and for
     each domain the target and what is reached, in tokens.
 
-    members: tokens and p (an array). Residuals are measured by the inverse of the
+    members: tokens and p (an array). With ``upper`` the weights of all domains but the
+    first are upper shares: a domain that has less is not raised. Residuals are measured by the inverse of the
     tokens' second moments of p. A step takes these moments over the documents
     whose rate is over zero, as the others cannot follow, and is halved while the
     residual does not fall.
@@ -216,6 +219,8 @@ def fit_rates(members: DataFrame, weights: dict[str, float] = WEIGHTS) -> tuple[
         return [], dict.fromkeys(DOMAINS, (0.0, 0.0))
     share = np.array([weights.get(d, 0.0) for d in DOMAINS])
     target = share * now[0] / share[0] if share[0] > 0 else share / share.sum() * total
+    if upper:
+        target = np.concatenate([target[:1], np.minimum(target[1:], now[1:])])
     metric = np.linalg.pinv(moments / total + 1e-9 * np.eye(size))
     worth = lambda v: float((v - target) @ metric @ (v - target)) / total**2
     while np.abs(now - target).max() > ENOUGH * total:
@@ -242,10 +247,10 @@ class Mixture:
     ``drawn`` reads no text again.
     """
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, carry: bool = False) -> None:
+    def __init__(self, docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, carry: bool = False, upper: bool = False) -> None:
         self.classifier = Classifier.fit(labelled_sample(docs, labels))
         self.members = settle(self.membership(docs, carry))
-        self.pulls, self.totals = fit_rates(self.members.select("tokens", "p"), weights)
+        self.pulls, self.totals = fit_rates(self.members.select("tokens", "p"), weights, upper)
         self._part: float | None = None
 
     def membership(self, docs: DataFrame, carry: bool = False) -> DataFrame:
@@ -290,9 +295,11 @@ class Mixture:
         return self.members.select("row.*", F.col("p").alias("__p")).filter(self._chosen(F.col("__p"))).drop("__p")
 
 
-def mix_documents(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """The documents drawn at the rates that bring them to the target weights."""
-    return Mixture(docs, labels, weights, carry=True).drawn()
+def mix_documents(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = DRAWN) -> DataFrame:
+    """The documents drawn at the rates that bring low and toxic ones down to their
+    weights. What has less than its weight stays as it is: raising it would need
+    repeats, and without repeats would drop part of all others."""
+    return Mixture(docs, labels, weights, carry=True, upper=True).drawn()
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
