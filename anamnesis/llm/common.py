@@ -11,6 +11,8 @@ from pyspark.sql.types import _parse_datatype_string
 
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Narrow rows (keys and numbers, no texts or sets) that one task takes.
+ROWS_A_TASK = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,3 +73,14 @@ def settle(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
     return df.checkpoint()
+
+
+def fewer(df: DataFrame, rows: int) -> DataFrame:
+    """So many narrow rows in no more parts than they need; the number grows with them."""
+    return df.coalesce(max(1, -(-rows // ROWS_A_TASK)))
+
+
+def settle_narrow(df: DataFrame) -> DataFrame:
+    """``settle`` and count narrow rows, and read them in no more parts than they need."""
+    done = settle(df)
+    return fewer(done, done.count())

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anamnesis.llm.common import settle
+from anamnesis.llm.common import fewer, settle
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the least of its surroundings."""
-    both = edges.select("hi", "lo").unionByName(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
+    both = edges.select(F.explode(F.array(F.struct("hi", "lo"), F.struct(F.col("lo").alias("hi"), F.col("hi").alias("lo")))).alias("e")).select("e.*")
     least = both.groupBy("hi").agg(F.least(F.min("lo"), F.first("hi")).alias("least"))
     return both.join(least, "hi").filter("lo > hi").select(F.col("lo").alias("hi"), F.col("least").alias("lo")).distinct()
 
@@ -28,7 +28,8 @@ def connected(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star steps alternate until nothing changes, in a number
     of rounds that grows with the logarithm of the longest chain. Every round's
-    edges are checkpointed; only their count and hash sum reach the driver.
+    edges are checkpointed, in as many parts as their number asks for, so that few
+    edges need no shuffle; only their count and hash sum reach the driver.
     """
     now = settle(edges.distinct())
     seen = None
@@ -37,4 +38,5 @@ def connected(edges: DataFrame) -> DataFrame:
         if count == 0 or (count, total) == seen:
             return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
         seen = count, total
-        now = settle(_small_star(_large_star(now)))
+        # A step makes at most two edges of one.
+        now = settle(fewer(_small_star(_large_star(fewer(now, count))), 2 * count))

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from anamnesis.llm.common import map_texts, settle, table
+from anamnesis.llm.common import map_texts, settle, settle_narrow, table
 from anamnesis.llm.components import connected
 
 SHINGLE, SEED, BITS, DISTANCE = 4, 42, 64, 4
@@ -204,6 +204,18 @@ def _alike(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.filter(common >= similarity * (F.size("a") + F.size("b") - common) - 1e-9).select("hi", "lo")
 
 
+def _joined_classes(classes: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """(node, component) after more edges: only the classes that these touch are linked anew."""
+    if classes is None:
+        return connected(edges)
+    hi = classes.select(F.col("node").alias("hi"), F.col("component").alias("a"))
+    lo = classes.select(F.col("node").alias("lo"), F.col("component").alias("b"))
+    ends = edges.join(hi, "hi", "left").join(lo, "lo", "left").select(F.coalesce("a", "hi").alias("a"), F.coalesce("b", "lo").alias("b")).filter("a != b")
+    more = connected(ends.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")))
+    moved = classes.join(more.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return moved.unionByName(more.join(classes.select("node"), "node", "left_anti"))
+
+
 def near_texts(docs: DataFrame, words: int = WORDS, similarity: float = ALIKE) -> tuple[DataFrame, DataFrame]:
     """(rows, texts): (doc_id, h, key) of every row with an id, and (key, first, class)
     of every different text, where first is the least (doc_id, h) and class the
@@ -216,7 +228,7 @@ def near_texts(docs: DataFrame, words: int = WORDS, similarity: float = ALIKE) -
     met = long.groupBy("band", "value").agg(F.count("*").alias("n")).filter("n > 1")
     members = long.join(met, ["band", "value"])
     degree = members.groupBy("key").agg(F.sum("n").alias("degree"))
-    members = settle(members.drop("n").join(degree, "key"))
+    members = settle_narrow(members.drop("n").join(degree, "key"))
     # Only texts that meet others are cut into shingles again.
     wanted = members.select("first.doc_id", "first.h", "key").distinct()
 
@@ -226,22 +238,21 @@ def near_texts(docs: DataFrame, words: int = WORDS, similarity: float = ALIKE) -
     # An id with a text may stand on several rows.
     sets = map_texts(hashed.join(wanted, ["doc_id", "h"]), shingle_set, "set array<long>", ("key",))
     sets = settle(sets.groupBy("key").agg(F.min("set").alias("set")))
-    found, left, classes = None, members, None
+    left, classes = members, None
     while True:
         pivots = left.groupBy("band", "value").agg(F.count("*").alias("n"), F.max(F.struct("degree", "key")).alias("top"), F.min(F.struct("first", "key")).alias("oldest")).filter("n > 1")
         met = left.join(pivots.select("band", "value", F.array_distinct(F.array("top.key", "oldest.key")).alias("pivots")), ["band", "value"])
         pairs = met.select("key", F.explode("pivots").alias("pivot")).filter("key != pivot")
         edges = pairs.select(F.greatest("key", "pivot").alias("hi"), F.least("key", "pivot").alias("lo")).distinct()
-        alike = settle(_alike(edges, sets, similarity))
+        alike = settle_narrow(_alike(edges, sets, similarity))
         if alike.isEmpty():
             break
-        found = alike if found is None else found.unionByName(alike)
-        classes = settle(connected(found))
+        classes = settle_narrow(_joined_classes(classes, alike))
         # Who is in a class with a pivot of the bucket has been linked; the others go on.
         named = left.join(classes, left.key == classes.node, "left").select(left["*"], F.coalesce("component", "key").alias("class"))
         tops = pivots.select("band", "value", F.explode(F.array_distinct(F.array("top.key", "oldest.key"))).alias("pivot"))
         done = tops.join(classes, tops.pivot == classes.node, "left").select("band", "value", F.coalesce("component", "pivot").alias("class")).distinct()
-        left = settle(named.join(done, ["band", "value", "class"], "left_anti").select(*left.columns))
+        left = settle_narrow(named.join(done, ["band", "value", "class"], "left_anti").select(*left.columns))
     if classes is None:
         return rows, texts.select("key", "first", F.col("key").alias("class"))
     named = texts.join(classes, texts.key == classes.node, "left")

@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from anamnesis.llm import simhash
+from anamnesis.llm import common, simhash
 from anamnesis.llm.components import connected
 
 
@@ -78,6 +78,27 @@ def test_components_of_chains(spark):
     assert connected(spark.createDataFrame([], "hi long, lo long")).count() == 0
 
 
+@pytest.mark.parametrize("rows", [3, 100_000])
+def test_classes_joined_in_turns(spark, monkeypatch, rows):
+    monkeypatch.setattr(common, "ROWS_A_TASK", rows)
+    draw = random.Random(5)
+    turns = [[(a, b) for a, b in ((draw.randrange(60), draw.randrange(60)) for _ in range(n)) if a > b] for n in (12, 12, 20)]
+    classes, parent = None, list(range(60))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for edges in turns:
+        classes = simhash._joined_classes(classes, spark.createDataFrame(edges, "hi long, lo long"))
+        for a, b in edges:
+            hi, lo = sorted((root(a), root(b)), reverse=True)
+            parent[hi] = lo
+    met = {x for edges in turns for e in edges for x in e}
+    assert sorted(map(tuple, classes.collect())) == sorted((x, root(x)) for x in met)
+
+
 def test_rows_and_kept(spark, odd, odd_rows, none):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == len(odd_rows)
