@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
@@ -80,7 +81,10 @@ def fewer(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(max(1, -(-rows // ROWS_A_TASK)))
 
 
-def settle_narrow(df: DataFrame) -> DataFrame:
-    """``settle`` and count narrow rows, and read them in no more parts than they need."""
+def settle_narrow(df: DataFrame, weight: Column | int = 1) -> DataFrame:
+    """``settle`` and count narrow rows, and read them in no more parts than they need.
+
+    ``weight`` says how many narrow rows one counts for, or is made into."""
     done = settle(df)
-    return fewer(done, done.count())
+    rows = done.agg(F.sum(F.lit(weight) if isinstance(weight, int) else weight)).first()[0]
+    return fewer(done, int(rows or 0))

@@ -154,10 +154,11 @@ def _ring_pairs(nodes: DataFrame, distance: int, wide: bool = False) -> DataFram
 
 def linked_prints(prints: DataFrame, distance: int = DISTANCE, narrow: int = NARROW) -> DataFrame:
     """(fp, class) of distinct fingerprints: a class is the least one reachable."""
-    nodes = settle(prints.select("fp").distinct())
+    nodes = settle_narrow(prints.select("fp").distinct(), BITS // 4)
     first = connected(_stars(nodes))
-    labelled = settle(nodes.join(first, nodes.fp == first.node, "left").select("fp", F.coalesce("component", "fp").alias("label")))
-    second = connected(_ring_pairs(labelled, distance, nodes.count() > narrow))
+    wide = nodes.count() > narrow
+    labelled = settle_narrow(nodes.join(first, nodes.fp == first.node, "left").select("fp", F.coalesce("component", "fp").alias("label")), 60 if wide else 10)
+    second = connected(_ring_pairs(labelled, distance, wide))
     return labelled.join(second, labelled.label == second.node, "left").select("fp", F.coalesce("component", "label").alias("class"))
 
 
@@ -221,10 +222,10 @@ def near_texts(docs: DataFrame, words: int = WORDS, similarity: float = ALIKE) -
     of every different text, where first is the least (doc_id, h) and class the
     least key that chains of sufficiently similar texts reach."""
     hashed = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
-    rows = settle(map_texts(hashed, lambda: _signature(words), "key binary, fp long, bands array<long>", ("doc_id", "h")))
-    texts = settle(rows.groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.min("fp").alias("fp"), F.min("bands").alias("bands")))
+    rows = settle_narrow(map_texts(hashed, lambda: _signature(words), "key binary, fp long, bands array<long>", ("doc_id", "h")), BANDS)
+    texts = settle_narrow(rows.groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.min("fp").alias("fp"), F.min("bands").alias("bands")), BANDS)
     simhashed = texts.join(linked_prints(texts), "fp").select("key", "first", F.concat("bands", F.array("class")).alias("bands"))
-    long = settle(simhashed.select("key", "first", F.posexplode("bands").alias("band", "value")))
+    long = settle_narrow(simhashed.select("key", "first", F.posexplode("bands").alias("band", "value")))
     met = long.groupBy("band", "value").agg(F.count("*").alias("n")).filter("n > 1")
     members = long.join(met, ["band", "value"])
     degree = members.groupBy("key").agg(F.sum("n").alias("degree"))
@@ -237,7 +238,8 @@ def near_texts(docs: DataFrame, words: int = WORDS, similarity: float = ALIKE) -
 
     # An id with a text may stand on several rows.
     sets = map_texts(hashed.join(wanted, ["doc_id", "h"]), shingle_set, "set array<long>", ("key",))
-    sets = settle(sets.groupBy("key").agg(F.min("set").alias("set")))
+    # Ten numbers of a set weigh as much as a narrow row.
+    sets = settle_narrow(sets.groupBy("key").agg(F.min("set").alias("set")), 1 + F.size("set") / 10)
     left, classes = members, None
     while True:
         pivots = left.groupBy("band", "value").agg(F.count("*").alias("n"), F.max(F.struct("degree", "key")).alias("top"), F.min(F.struct("first", "key")).alias("oldest")).filter("n > 1")
