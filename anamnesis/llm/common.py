@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +14,8 @@ from pyspark.sql.types import _parse_datatype_string
 
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_SETTLED = "settled_"
 #: Narrow rows (keys and numbers, no texts or sets) that one task takes.
 ROWS_A_TASK = 100_000
 
@@ -60,20 +64,52 @@ def map_texts(
     return docs.select(*keys, text).mapInArrow(run, full)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; only a local session that names none (a test)
+    takes one under the warehouse directory. A cluster must name one."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", "")
+    if not named and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return named or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+
+
+@contextmanager
+def dropped_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within it, a query's shuffle files go when the query has ended, not when the
+    driver's collector next runs. What is asked for again is computed again."""
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage through the shared checkpoint folder.
+    """Compute once and cut the lineage: a table written in the shared folder and read
+    again, which a lost executor leaves whole. It goes with ``release``, or with the driver.
 
-    The folder comes from spark.checkpoint.dir; only where a local session has none
-    (a test) is a folder under the warehouse directory set. A cluster must name one.
-    """
+    Other than checkpoint() it is compressed, and read in parts by its bytes."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = context.getConf().get("spark.checkpoint.dir", "")
-        if not named and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
-    return df.checkpoint()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{_SETTLED}{uuid4().hex}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    with dropped_shuffles(spark):
+        df.write.parquet(folder.toString())
+    return spark.read.schema(df.schema).parquet(folder.toString())
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the settled tables under the frames; nothing may read them any more."""
+    for df in frames:
+        spark = df.sparkSession
+        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if name.rsplit("/", 1)[1].startswith(_SETTLED):
+                folder = spark._jvm.org.apache.hadoop.fs.Path(name)
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def fewer(df: DataFrame, rows: int) -> DataFrame:
@@ -86,5 +122,6 @@ def settle_narrow(df: DataFrame, weight: Column | int = 1) -> DataFrame:
 
     ``weight`` says how many narrow rows one counts for, or is made into."""
     done = settle(df)
-    rows = done.agg(F.sum(F.lit(weight) if isinstance(weight, int) else weight)).first()[0]
+    with dropped_shuffles(df.sparkSession):
+        rows = done.agg(F.sum(F.lit(weight) if isinstance(weight, int) else weight)).first()[0]
     return fewer(done, int(rows or 0))

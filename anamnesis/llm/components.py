@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anamnesis.llm.common import fewer, settle
+from anamnesis.llm.common import dropped_shuffles, fewer, release, settle
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -28,15 +28,18 @@ def connected(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star steps alternate until nothing changes, in a number
     of rounds that grows with the logarithm of the longest chain. Every round's
-    edges are checkpointed, in as many parts as their number asks for, so that few
+    edges are settled, in as many parts as their number asks for, so that few
     edges need no shuffle; only their count and hash sum reach the driver.
     """
     now = settle(edges.distinct())
     seen = None
     while True:
-        count, total = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
+        with dropped_shuffles(now.sparkSession):
+            count, total = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if count == 0 or (count, total) == seen:
             return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
         seen = count, total
         # A step makes at most two edges of one.
-        now = settle(fewer(_small_star(_large_star(fewer(now, count))), 2 * count))
+        then = settle(fewer(_small_star(_large_star(fewer(now, count))), 2 * count))
+        release(now)
+        now = then

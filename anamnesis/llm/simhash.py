@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from anamnesis.llm.common import map_texts, settle, settle_narrow, table
+from anamnesis.llm.common import map_texts, release, settle, settle_narrow, table
 from anamnesis.llm.components import connected
 
 SHINGLE, SEED, BITS, DISTANCE = 4, 42, 64, 4
@@ -254,7 +254,10 @@ def near_texts(docs: DataFrame, words: int = WORDS, similarity: float = ALIKE) -
         named = left.join(classes, left.key == classes.node, "left").select(left["*"], F.coalesce("component", "key").alias("class"))
         tops = pivots.select("band", "value", F.explode(F.array_distinct(F.array("top.key", "oldest.key"))).alias("pivot"))
         done = tops.join(classes, tops.pivot == classes.node, "left").select("band", "value", F.coalesce("component", "pivot").alias("class")).distinct()
-        left = settle_narrow(named.join(done, ["band", "value", "class"], "left_anti").select(*left.columns))
+        rest = settle_narrow(named.join(done, ["band", "value", "class"], "left_anti").select(*left.columns))
+        release(left, alike)
+        left = rest
+    release(long, left, alike, sets)
     if classes is None:
         return rows, texts.select("key", "first", F.col("key").alias("class"))
     named = texts.join(classes, texts.key == classes.node, "left")
