@@ -16,6 +16,7 @@ from pyspark.sql.types import _parse_datatype_string
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _SETTLED = "settled_"
+_SCOPES: list[list] = []
 #: Narrow rows (keys and numbers, no texts or sets) that one task takes.
 ROWS_A_TASK = 100_000
 
@@ -99,9 +100,26 @@ def settle(df: DataFrame) -> DataFrame:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     with dropped_shuffles(spark):
         df.write.parquet(folder.toString())
+    for names in _SCOPES:
+        names.append(folder)
     return spark.read.schema(df.schema).parquet(folder.toString())
 
 
+def settle_alone(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """``settle`` what ``make`` returns, and delete what was settled on the way there."""
+    made: list = []
+    _SCOPES.append(made)
+    try:
+        df = make()
+    finally:
+        _SCOPES[:] = [names for names in _SCOPES if names is not made]
+    try:
+        return settle(df)
+    finally:
+        for folder in made:
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def release(*frames: DataFrame) -> None:
     """Delete the settled tables under the frames; nothing may read them any more."""
     for df in frames:
