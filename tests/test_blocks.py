@@ -35,3 +35,17 @@ def test_resolve_makes_no_row_of_each_pair(spark):
     assert "MapInArrow" in plan
     near = retrieve.nearest(v.filter("key < 120"), v.filter("key < 50").withColumnRenamed("key", "query"), 1, others=True, held=60)
     assert near.count() <= 50 * 3
+
+
+def test_vector_arm_in_blocks_is_exact(spark):
+    v = frame(spark, VECTORS)
+    asked = v.filter("key % 4 = 0 OR key > 199").withColumnRenamed("key", "query")
+    got = {}
+    for r in retrieve.vector_top(v, asked, 9, most_queries=10).collect():
+        got.setdefault(r.query, []).append((r["rank"], r.key, r.score))
+    for query, q in VECTORS:
+        if query % 4 == 0 or query > 199:
+            scored = [(plain_cosine(e, q), k) for k, e in VECTORS]
+            want = sorted(scored, key=lambda x: (x[0] is None, -(x[0] or 0.0), x[1]))[:9]
+            assert sorted(got[query]) == [(i, k, c) for i, (c, k) in enumerate(want, 1)], query
+    assert "MapInArrow" in retrieve.vector_top(v, asked, 9)._jdf.queryExecution().optimizedPlan().toString()
