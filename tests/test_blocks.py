@@ -49,3 +49,52 @@ def test_vector_arm_in_blocks_is_exact(spark):
             want = sorted(scored, key=lambda x: (x[0] is None, -(x[0] or 0.0), x[1]))[:9]
             assert sorted(got[query]) == [(i, k, c) for i, (c, k) in enumerate(want, 1)], query
     assert "MapInArrow" in retrieve.vector_top(v, asked, 9)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_khop_makes_no_row_of_each_path(spark):
+    pairs = [(i, j, ((i * 7 + j * 3) % 11) / 16) for i in range(0, 1400, 20) for j in range(i + 20, min(i + 700, 1400), 60)] + [(3, 3, 0.5), (20, 20, 1.0)]
+    edges = spark.createDataFrame(pairs, "lo long, hi long, weight double")
+    starts = [(9, 0), (9, 700), (8, 40), (7, 3), (6, 77777)]
+    both = [x for a, b, w in pairs for x in ((a, b, w), (b, a, w))]
+    want = {}
+    for query in {q for q, _ in starts}:
+        seen = {n: (0, 0.0) for q, n in starts if q == query}
+        front = {n: 0.0 for n in seen}
+        for hop in (1, 2):
+            now = {}
+            for a, b, w in both:
+                if a in front and b not in seen:
+                    now[b] = max(now.get(b, 0.0), front[a] + w)
+            seen |= {n: (hop, s) for n, s in now.items()}
+            front = now
+        want |= {(query, n): x for n, x in seen.items()}
+    for name in ("long", "string"):
+        typed = edges.select(F.col("lo").cast(name).alias("lo"), F.col("hi").cast(name).alias("hi"), "weight")
+        start = spark.createDataFrame(starts, "query long, node long").select("query", F.col("node").cast(name).alias("node"))
+        reach = retrieve.khop(start, typed)
+        assert {(r["query"], int(r.node)): (r.hop, r.sum_w) for r in reach.collect()} == want
+    assert "FlatMapCoGroupsInArrow" in reach._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_reach_in_pieces_is_the_same():
+    import pyarrow as pa
+
+    front = pa.table({"query": [1, 1, 2, 2], "node": [5, 6, 6, 5], "sum_w": [0.5, 0.0, 1.0, 0.0]})
+    edges = pa.table({"a": [5, 5, 6, 6, 6], "b": [1, 2, 2, 3, 1], "weight": [0.25, 0.5, 1.0, 0.5, None]})
+    whole = sorted(retrieve._reach(front, edges).to_pylist(), key=str)
+    assert whole == sorted(retrieve._reach(front, edges, 1).to_pylist(), key=str) == sorted(retrieve._reach(front, edges, 4).to_pylist(), key=str)
+    assert {(r["query"], r["node"]): r["sum_w"] for r in whole} == {(1, 1): 0.75, (1, 2): 1.0, (1, 3): 0.5, (2, 1): 0.25, (2, 2): 2.0, (2, 3): 1.5}
+
+
+def test_first_memories_meet_before_they_are_rows(spark):
+    near = [(q, n, (q + n) % 3, (n % 9) / 9) for q in (1, 2, 600) for n in range(q % 5, 60)]
+    mentions = [(m, n) for n in range(70) for m in range(n % 4, 90, 3)]
+    want = {}
+    for q, n, hop, trust in near:
+        for m in sorted(m for m, e in mentions if e == n)[:20]:
+            h, t = want.get((q, m), (9, 0.0))
+            want[q, m] = min(h, hop), max(t, trust)
+    want = {k: round(1 / (1 + h) * (0.5 + 0.5 * t), 6) for k, (h, t) in want.items()}
+    first = {(q, m) for q in (1, 2, 600) for _, m in sorted((-s, m) for (p, m), s in want.items() if p == q)[:15]}
+    got = retrieve.first_memories(spark.createDataFrame(near, "query long, node long, hop int, trust double"), spark.createDataFrame(mentions, "memory long, entity long"), 20, 15)
+    assert {(r["query"], r.key): r.score for r in got.collect()} == {k: want[k] for k in first}
