@@ -20,7 +20,14 @@ a similarity of word shingles instead: the fingerprints' components are one sour
 of candidates, bands of minimum hashes the other; in each bucket of either the
 texts are compared exactly with the one that meets most others and with the
 oldest, and those that are like neither again among themselves, as long as that
-finds links.
+finds links. That joins most of a large group cheaply, and is no condition: every
+pair that is alike and not in one class by then is found by an exact join. In one
+order of all shingles two texts that are alike share one of the first fifth of
+each (its prefix). The order takes shingles that many texts have last; it is read
+from counts by hashed cells, and any order gives the same pairs. Pairs of one class
+are left out; lengths, places and parities of shingles (whose differing bits are at
+most the differing shingles) drop only pairs that cannot be alike, the rest are
+compared exactly.
 
 Defined cases: null or empty text has fingerprint zero, linked like any other; a
 null id has a fingerprint and component null, and its row stays in ``keep_one``;
@@ -32,15 +39,17 @@ an empty table gives none; other columns pass through whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from anamnesis.llm.common import map_texts, release, settle, settle_narrow, table
+from anamnesis.llm.common import dropped_shuffles, map_texts, release, settle, settle_narrow, small_batches, table
 from anamnesis.llm.components import connected
 
 SHINGLE, SEED, BITS, DISTANCE = 4, 42, 64, 4
@@ -53,6 +62,9 @@ WORDS, ALIKE = 5, 0.8
 #: Bands of minimum hashes and hashes of a band: of texts four fifths alike all but
 #: one in two hundred pairs share a band.
 BANDS, ROWS = 10, 4
+#: Cells by which shingles are counted for their order, bits of the parity that a
+#: prefix's rows carry, and such rows a task.
+CELLS, PARITY, PREFIX_ROWS = 1 << 20, 512, 400_000
 
 
 def _words(text: str) -> list[bytes]:
@@ -198,6 +210,18 @@ def _signature(words: int) -> Callable[[str], tuple]:
     return row
 
 
+def _sets(hashed: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(key, set) of the wanted texts (doc_id, h, key)."""
+
+    def shingle_set() -> Callable[[str], tuple]:
+        return lambda text: (np.unique(shingles(_words(text), words)).view(np.int64).tolist(),)
+
+    # An id with a text may stand on several rows.
+    sets = map_texts(hashed.join(wanted, ["doc_id", "h"]), shingle_set, "set array<long>", ("key",))
+    # Ten numbers of a set weigh as much as a narrow row.
+    return settle_narrow(sets.groupBy("key").agg(F.min("set").alias("set")), 1 + F.size("set") / 10)
+
+
 def _alike(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The edges whose texts' shingle sets have at least the similarity."""
     both = edges.join(sets.select(F.col("key").alias("hi"), F.col("set").alias("a")), "hi").join(sets.select(F.col("key").alias("lo"), F.col("set").alias("b")), "lo")
@@ -217,6 +241,168 @@ def _joined_classes(classes: DataFrame | None, edges: DataFrame) -> DataFrame:
     return moved.unionByName(more.join(classes.select("node"), "node", "left_anti"))
 
 
+def _levels(docs: DataFrame, words: int) -> np.ndarray:
+    """How frequent the shingles of each cell are: 0 for no more than the mean and its
+    scatter, else the bits of the count."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CELLS, np.int64)
+        for b in batches:
+            for i in range(0, b.num_rows, 100):
+                found = [shingles(_words(x or ""), words) for x in b.column(0).slice(i, 100).to_pylist()]
+                counts += np.bincount((np.concatenate(found) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+        rows = np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32).reshape(256, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(256), pa.int32()), pa.array([x.tobytes() for x in rows], pa.binary())], names=["block", "counts"])
+
+    def total(parts: pa.Table) -> pa.Table:
+        summed = sum(np.frombuffer(x, np.int32).astype(np.int64) for x in parts.column("counts").to_pylist())
+        return pa.table({"block": parts.column("block")[:1], "counts": pa.array([summed.tobytes()], pa.binary())})
+
+    small_batches(docs)
+    with dropped_shuffles(docs.sparkSession):
+        rows = docs.select("text").mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(total, "block int, counts binary").collect()
+    counts = np.zeros((256, CELLS // 256), np.int64)
+    for r in rows:
+        counts[r.block] = np.frombuffer(r.counts, np.int64)
+    counts, mean = counts.ravel(), counts.mean()
+    return np.where(counts > mean + 4 * math.sqrt(mean) + 4, np.ceil(np.log2(counts + 1)), 0).astype(np.int8)
+
+
+def _prefix(text: str, words: int, similarity: float, levels: np.ndarray) -> tuple:
+    """A text's key, the number of its different shingles, the first of them in the order
+    (of which it shares one with every text like it), and the parities of their hashes."""
+    parts = _words(text)
+    key = xxhash.xxh3_128_digest(b" ".join(parts))
+    own = np.unique(shingles(parts, words))
+    n = len(own)
+    if not n:
+        return key, int.from_bytes(key[:8], "big", signed=True), 0, [], b""
+    order = np.lexsort((own, levels[(own & np.uint64(CELLS - 1)).astype(np.int64)]))
+    first = own[order[: n - math.ceil(similarity * n - 1e-9) + 1]]
+    bits = max(PARITY, 1 << (n - 1).bit_length())
+    odd = np.bincount((own >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return key, int.from_bytes(key[:8], "big", signed=True), n, first.view(np.int64).tolist(), np.packbits(odd.astype(bool)).tobytes()
+
+
+def _folded(odd: bytes, size: int) -> np.ndarray:
+    """Parities by fewer bits, so many bytes: what a cell of each part has adds up."""
+    return np.bitwise_xor.reduce(np.frombuffer(odd, np.uint8).reshape(-1, size), axis=0)
+
+
+def _columns(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
+    full = [b for b in batches if b.num_rows]
+    return pa.Table.from_batches(full).combine_chunks() if full else None
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, id, place) of the shingles that texts of two classes have in their prefixes."""
+    rows = _columns(batches)
+    if rows is None:
+        return
+    token, kind = rows.column("token").to_numpy(), rows.column("class").to_numpy()
+    order = np.lexsort((kind, token))
+    token, kind = token[order], kind[order]
+    begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    count = np.diff(np.append(begin, len(token)))
+    mixed = np.repeat(kind[begin] != kind[begin + count - 1], count)
+    yield from rows.take(pa.array(order[mixed])).select(["token", "id", "place"]).to_batches(100_000)
+
+
+def _pairs_of(rows: pa.Table, similarity: float) -> pa.Table:
+    """(a, b): pairs of a token's texts of two classes that may be alike, each once.
+
+    Rows are sorted by token and size, and each meets those one, two, ... rows on,
+    as long as these have its token and are not too long."""
+    columns = {c: rows.column(c).to_numpy() for c in ("token", "id", "place", "size", "class")}
+    order = np.lexsort((columns["id"], columns["size"], columns["token"]))
+    token, id_, place, size, kind = (x[order] for x in columns.values())
+    size = size.astype(np.int64)
+    odd = np.frombuffer(b"".join(rows.column("odd").to_pylist()), np.uint64).reshape(len(order), -1)[order]
+    at, lag, found, held = np.arange(len(order)), 1, [np.zeros((0, 2), np.int64)], 0
+    share = similarity / (1 + similarity)
+    while True:
+        at = at[at + lag < len(order)]
+        # Sizes ascend: a row that has met one too long meets no more.
+        at = at[(token[at] == token[at + lag]) & (size[at] >= similarity * size[at + lag] - 1e-9)]
+        if not len(at):
+            break
+        for i in range(0, len(at), 1 << 18):
+            x = at[i : i + (1 << 18)]
+            y = x + lag
+            both, px, py = size[x] + size[y], place[x], place[y]
+            # Of the shared ones before this no more than the lesser place, after it no more than the lesser rest.
+            most = np.minimum(px, py) + 1 + np.minimum(size[x] - px - 1, size[y] - py - 1)
+            near = (kind[x] != kind[y]) & (most >= share * both - 1e-6)
+            x, y, both = x[near], y[near], both[near]
+            near = np.bitwise_count(odd[x] ^ odd[y]).sum(1) <= (1 - 2 * share) * both + 1e-6
+            pair = np.sort(np.stack([id_[x[near]], id_[y[near]]], 1), axis=1)
+            found.append(pair)
+            held += len(pair)
+            if held > 1 << 20:
+                found = [np.unique(np.concatenate(found), axis=0)]
+                held = len(found[0]) // 2
+        lag += 1
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def _others(docs: DataFrame, classes: DataFrame | None, words: int, similarity: float) -> DataFrame:
+    """(hi, lo): keys of all pairs of texts of different classes that may be alike: an exact join."""
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(_levels(docs, words))
+
+    def start() -> Callable[[str], tuple]:
+        levels = sent.value
+        return lambda text: _prefix(text, words, similarity, levels)
+
+    schema = "key binary, id long, size int, first array<long>, odd binary"
+    made = map_texts(docs.select("text"), start, schema, ())
+    # Equal keys have equal rows.
+    once = made.groupBy("key").agg(*[F.first(c).alias(c) for c in ("id", "size", "first", "odd")])
+    if classes is not None:
+        once = once.join(classes, once.key == classes.node, "left").select(once["*"], F.xxhash64(F.coalesce("component", "key")).alias("class"))
+    else:
+        once = once.withColumn("class", F.xxhash64("key"))
+    base = settle(once)
+    with dropped_shuffles(spark):
+        rows = base.agg(F.sum(F.size("first"))).first()[0] or 0
+    each = base.select("id", "class", F.posexplode("first").alias("place", "token")).select("token", "id", "place", "class")
+    shared = settle(each.repartition(rows // PREFIX_ROWS + 1, "token").mapInArrow(_shared, "token long, id long, place int"))
+    with dropped_shuffles(spark):
+        rows = shared.count()
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            short = [_folded(x, PARITY // 8).tobytes() for x in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(short, pa.binary())], names=["id", "size", "class", "odd"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _columns(batches)
+        if rows is not None:
+            yield from _pairs_of(rows, similarity).to_batches(100_000)
+
+    def may_be_alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hi, lo, n, odds, others = b.columns
+            keep = []
+            for n_, x, y in zip(n.to_pylist(), odds.to_pylist(), others.to_pylist(), strict=True):
+                size = min(len(x), len(y))
+                keep.append(int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum()) <= (1 - similarity) / (1 + similarity) * n_ + 1e-6)
+            yield pa.RecordBatch.from_arrays([hi, lo], names=["hi", "lo"]).filter(pa.array(keep, pa.bool_()))
+
+    narrow = base.filter("size > 0").select("id", "size", "class", "odd").mapInArrow(folded, "id long, size int, class long, odd binary")
+    met = shared.join(narrow, "id").select("token", "id", "place", "size", "class", "odd").repartition(rows // PREFIX_ROWS + 1, "token")
+    pairs = settle(met.mapInArrow(meet, "a long, b long").distinct())
+    whole = base.select("id", "key", "size", "odd")
+    one, two = (whole.select(F.col("id").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("key", "size", "odd")]) for c in "ab")
+    ends = pairs.join(one, "a").join(two, "b").filter("a_key != b_key")
+    near = ends.select(F.greatest("a_key", "b_key").alias("hi"), F.least("a_key", "b_key").alias("lo"), (F.col("a_size") + F.col("b_size")).alias("n"), "a_odd", "b_odd")
+    done = settle_narrow(near.mapInArrow(may_be_alike, "hi binary, lo binary").distinct())
+    release(base, shared, pairs)
+    sent.unpersist()
+    return done
+
+
 def near_texts(docs: DataFrame, words: int = WORDS, similarity: float = ALIKE) -> tuple[DataFrame, DataFrame]:
     """(rows, texts): (doc_id, h, key) of every row with an id, and (key, first, class)
     of every different text, where first is the least (doc_id, h) and class the
@@ -231,15 +417,7 @@ def near_texts(docs: DataFrame, words: int = WORDS, similarity: float = ALIKE) -
     degree = members.groupBy("key").agg(F.sum("n").alias("degree"))
     members = settle_narrow(members.drop("n").join(degree, "key"))
     # Only texts that meet others are cut into shingles again.
-    wanted = members.select("first.doc_id", "first.h", "key").distinct()
-
-    def shingle_set() -> Callable[[str], tuple]:
-        return lambda text: (np.unique(shingles(_words(text), words)).view(np.int64).tolist(),)
-
-    # An id with a text may stand on several rows.
-    sets = map_texts(hashed.join(wanted, ["doc_id", "h"]), shingle_set, "set array<long>", ("key",))
-    # Ten numbers of a set weigh as much as a narrow row.
-    sets = settle_narrow(sets.groupBy("key").agg(F.min("set").alias("set")), 1 + F.size("set") / 10)
+    sets = _sets(hashed, members.select("first.doc_id", "first.h", "key").distinct(), words)
     left, classes = members, None
     while True:
         pivots = left.groupBy("band", "value").agg(F.count("*").alias("n"), F.max(F.struct("degree", "key")).alias("top"), F.min(F.struct("first", "key")).alias("oldest")).filter("n > 1")
@@ -258,6 +436,16 @@ def near_texts(docs: DataFrame, words: int = WORDS, similarity: float = ALIKE) -
         release(left, alike)
         left = rest
     release(long, left, alike, sets)
+    # Whatever pairs the buckets and their pivots have missed.
+    pairs = _others(hashed, classes, words, similarity)
+    if not pairs.isEmpty():
+        ends = pairs.select(F.explode(F.array("hi", "lo")).alias("key")).distinct()
+        sets = _sets(hashed, texts.join(ends, "key").select("first.doc_id", "first.h", "key"), words)
+        alike = settle_narrow(_alike(pairs, sets, similarity))
+        release(sets)
+        if not alike.isEmpty():
+            classes = settle_narrow(_joined_classes(classes, alike))
+    release(pairs)
     if classes is None:
         return rows, texts.select("key", "first", F.col("key").alias("class"))
     named = texts.join(classes, texts.key == classes.node, "left")
