@@ -4,6 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from anamnesis.functions.text import tokens
 from anamnesis.operators import ingest, retrieve
 
 VECTORS = [(i, [float(i % 7) - 3, float(i % 5) - 2, float(i % 3)]) for i in range(120)] + [(200, None), (201, []), (202, [1.0]), (203, [0.0, 0.0, 0.0]), (204, [1.0, None, 2.0])]
@@ -98,3 +99,21 @@ def test_first_memories_meet_before_they_are_rows(spark):
     first = {(q, m) for q in (1, 2, 600) for _, m in sorted((-s, m) for (p, m), s in want.items() if p == q)[:15]}
     got = retrieve.first_memories(spark.createDataFrame(near, "query long, node long, hop int, trust double"), spark.createDataFrame(mentions, "memory long, entity long"), 20, 15)
     assert {(r["query"], r.key): r.score for r in got.collect()} == {k: want[k] for k in first}
+
+
+def test_word_arm_counts_lengths_without_arrays(spark):
+    texts = ["İstanbul a1 b", "x²y½ ②z", "\U0001d49c\U0001d49e d'e", "  ", None, "ﬀ—é ß_q 漢字٣"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    asked = spark.createDataFrame([(1, "a1 z d ß 漢字")], "query long, text string")
+    got = retrieve.bm25(docs, asked)
+    assert "regexp_count" in got._jdf.queryExecution().analyzed().toString()
+    lengths = {r.key: r.n for r in docs.select("key", F.size(tokens(F.col("text"))).alias("n")).collect()}
+    cut = docs.select("key", F.explode(tokens(F.col("text"))).alias("t")).collect()
+    mean, words, want = sum(lengths.values()) / len(texts), {"a1", "z", "d", "ß", "漢字"}, {}
+    for key in range(len(texts)):
+        for w in words:
+            tf, df = sum(r.key == key and r.t == w for r in cut), len({r.key for r in cut if r.t == w})
+            if tf:
+                part = math.log(1 + (len(texts) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * lengths[key] / mean))
+                want[key] = want.get(key, 0.0) + part
+    assert {r.key: r.score for r in got.collect()} == {k: round(x, 6) for k, x in want.items()} != {}
