@@ -2,6 +2,8 @@
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from anamnesis.functions.text import tokens
@@ -52,6 +54,29 @@ def test_vector_arm_in_blocks_is_exact(spark):
     assert "MapInArrow" in retrieve.vector_top(v, asked, 9)._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_vector_arm_leaves_few_hits_to_merge(spark):
+    rng = np.random.default_rng(5)
+    drawn = rng.normal(size=(40_000, 16)).astype(np.float32)
+    # Copies of one vector, so that equal scores are more than the hits asked for.
+    drawn[:900], drawn[900] = drawn[0], 0
+    v = spark.createDataFrame(pa.table({"key": np.arange(40_000), "embedding": list(drawn)}))
+    asked = v.filter("key % 80 = 0").withColumnRenamed("key", "query")
+    near = retrieve.nearest(v, asked, 20)
+    # Two parts of the rows give hits; lots of the queries keep the cores busy.
+    assert near.count() == 2 * 20 * 500
+    exact = drawn.astype(float)
+    length = np.linalg.norm(exact, axis=1, keepdims=True)
+    exact /= np.where(length == 0, 1.0, length)
+    got = {}
+    for r in retrieve.vector_top(v, asked, 20).collect():
+        got.setdefault(r.query, []).append((r["rank"], r.key, r.score))
+    assert len(got) == 500
+    for query in (0, 80, 880, 960, 4000, 39_920):
+        scores = np.round(exact @ exact[query], 6) + 0.0
+        first = np.lexsort((np.arange(len(scores)), -scores))[:20]
+        assert sorted(got[query]) == [(i, k, scores[k]) for i, k in enumerate(first.tolist(), 1)], query
+
+
 def test_khop_makes_no_row_of_each_path(spark):
     pairs = [(i, j, ((i * 7 + j * 3) % 11) / 16) for i in range(0, 1400, 20) for j in range(i + 20, min(i + 700, 1400), 60)] + [(3, 3, 0.5), (20, 20, 1.0)]
     edges = spark.createDataFrame(pairs, "lo long, hi long, weight double")
@@ -78,8 +103,6 @@ def test_khop_makes_no_row_of_each_path(spark):
 
 
 def test_reach_in_pieces_is_the_same():
-    import pyarrow as pa
-
     front = pa.table({"query": [1, 1, 2, 2], "node": [5, 6, 6, 5], "sum_w": [0.5, 0.0, 1.0, 0.0]})
     edges = pa.table({"a": [5, 5, 6, 6, 6], "b": [1, 2, 2, 3, 1], "weight": [0.25, 0.5, 1.0, 0.5, None]})
     whole = sorted(retrieve._reach(front, edges).to_pylist(), key=str)
