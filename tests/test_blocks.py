@@ -77,6 +77,41 @@ def test_vector_arm_leaves_few_hits_to_merge(spark):
         assert sorted(got[query]) == [(i, k, scores[k]) for i, k in enumerate(first.tolist(), 1)], query
 
 
+def plain_picks(rows, k, lambda_):
+    rows = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0.0), r[0]))
+    known = [f for _, f, _ in rows if f is not None]
+    low, high = min(known, default=0.0), max(known, default=0.0)
+    rel = {key: 0.0 if f is None else (f - low) / ((high - low) or 1.0) for key, f, _ in rows}
+    vec, picked = {key: e for key, _, e in rows}, []
+    while len(picked) < min(k, len(rows)):
+        left = [key for key, _, _ in rows if key not in picked]
+        near = lambda key: max((plain_cosine(vec[key], vec[p]) or 0.0 for p in picked), default=0.0)
+        picked.append(max(left, key=lambda key: round(lambda_ * rel[key] - (1 - lambda_) * near(key), 9)))
+    return picked
+
+
+def test_mmr_takes_batches_of_many_queries(spark):
+    rng = np.random.default_rng(3)
+    queries = {q: [(key, round(float(rng.random()), 3), [round(float(x), 2) for x in rng.normal(size=4)]) for key in range(1 + q % 13)] for q in range(40)}
+    queries[50] = [(1, 0.9, [1.0, 0.0]), (2, 0.8, None), (3, None, [0.0, 1.0]), (4, 0.1, [1.0, None]), (5, 0.4, [1.0]), (6, None, None)]
+    queries[51] = [(1, None, None), (2, None, [])]
+    rows = spark.createDataFrame([(q, *r) for q, some in queries.items() for r in some], "query long, key long, fused double, embedding array<float>")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for most in ("5", size):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+            picks = retrieve.mmr(rows, 5, 0.6)
+            got = {}
+            for r in picks.orderBy("query", "pick").collect():
+                got.setdefault(r.query, []).append((r["pick"], r.key))
+            for q, some in queries.items():
+                assert got[q] == list(enumerate(plain_picks(some, 5, 0.6), 1)), q
+            assert len(got) == len(queries)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert "MapInArrow" in picks._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_khop_makes_no_row_of_each_path(spark):
     pairs = [(i, j, ((i * 7 + j * 3) % 11) / 16) for i in range(0, 1400, 20) for j in range(i + 20, min(i + 700, 1400), 60)] + [(3, 3, 0.5), (20, 20, 1.0)]
     edges = spark.createDataFrame(pairs, "lo long, hi long, weight double")
