@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from anamnesis import catalog
 from anamnesis.functions.text import tokens
 from anamnesis.operators import ingest, retrieve
 
@@ -175,3 +176,17 @@ def test_word_arm_counts_lengths_without_arrays(spark):
                 part = math.log(1 + (len(texts) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * lengths[key] / mean))
                 want[key] = want.get(key, 0.0) + part
     assert {r.key: r.score for r in got.collect()} == {k: round(x, 6) for k, x in want.items()} != {}
+
+
+def test_topk_mmr_sends_vectors_as_stored(spark, small):
+    picks = catalog.queries()["topk_mmr"](spark, small)
+    assert "as array<double>" not in picks._jdf.queryExecution().optimizedPlan().toString()
+    ranked, got = {}, {}
+    vec = {r.vec_id: [float(x) for x in r.embedding] for r in spark.read.parquet(f"{small}/embeddings.parquet").collect()}
+    for r in catalog.queries()["ret_vector"](spark, small).collect():
+        ranked.setdefault(r["query"], []).append((r.key, r.score, vec[r.key]))
+    for r in picks.orderBy("query", "pick").collect():
+        got.setdefault(r["query"], []).append(r.key)
+    assert sorted(got) == sorted(ranked) == sorted(key for key in vec if key % 20 == 0)
+    for query in sorted(ranked)[:4]:
+        assert got[query] == plain_picks(ranked[query], 5, 0.7), query
