@@ -160,6 +160,29 @@ def test_first_memories_meet_before_they_are_rows(spark):
     assert {(r["query"], r.key): r.score for r in got.collect()} == {k: want[k] for k in first}
 
 
+def test_first_memories_weigh_and_leave_out_seeds(spark):
+    near = [(q, n, (q + n) % 3, (n % 9) / 9) for q in (1, 2, 600) for n in range(q % 5, 30)]
+    mentions = [(m, n) for n in range(40) for m in range(n % 4, 90, 3)] + [(None, 3)]
+    weight = {m: (m % 7) / 7 for m in range(60)}
+    but = [(1, 0), (1, 3), (2, 6), (2, 1000), (600, None), (9, 1)]
+    frames = [
+        spark.createDataFrame(near, "query long, node long, hop int, trust double"), spark.createDataFrame(mentions, "memory long, entity long"), 20, 15,
+        spark.createDataFrame(list(weight.items()), "key long, weight double"), spark.createDataFrame(but, "query long, key long"),
+    ]
+    for strays in (False, True):
+        want = {}
+        for q, n, hop, trust in near:
+            # A missing memory comes first in its entity's order.
+            for m in sorted((m for m, e in mentions if e == n), key=lambda m: (m is not None, m or 0))[:20]:
+                if m is not None and (q, m) not in but and (strays or m in weight):
+                    h, t = want.get((q, m), (9, 0.0))
+                    want[q, m] = min(h, hop), max(t, trust)
+        want = {(q, m): round(1 / (1 + h) * (0.5 + 0.5 * t) * weight.get(m, 1.0), 6) for (q, m), (h, t) in want.items()}
+        first = {(q, m) for q in (1, 2, 600) for _, m in sorted((-s, m) for (p, m), s in want.items() if p == q)[:15]}
+        got = retrieve.first_memories(*frames, strays=strays)
+        assert {(r["query"], r.key): r.score for r in got.collect()} == {k: want[k] for k in first}
+
+
 def test_word_arm_counts_lengths_without_arrays(spark):
     texts = ["İstanbul a1 b", "x²y½ ②z", "\U0001d49c\U0001d49e d'e", "  ", None, "ﬀ—é ß_q 漢字٣"]
     docs = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
